@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import leaks, residue
+from lectern.llm import leaks, pairs, residue
 from lectern.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken question-answer pairs and their defect."""
+    return pairs.defects(table(spark, sf_dir, "case_results"), table(spark, sf_dir, "answers"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that give away evaluation cases."""
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
@@ -26,7 +31,7 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p8_found, p8_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p6_found, p8_found, p8_kept)}
 
 #: SQL for those queries that SQL can state; the others are tested against brute force.
 SQL: dict[str, str] = {}
