@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import leaks, pairs, residue
+from lectern.llm import leaks, pairs, residue, scans
 from lectern.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of parsed documents with furniture, broken or misread words."""
+    return scans.defects(table(spark, sf_dir, "parsed_docs"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed documents in continuous paragraphs of the original words."""
+    return scans.repair(table(spark, sf_dir, "parsed_docs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken question-answer pairs and their defect."""
     return pairs.defects(table(spark, sf_dir, "case_results"), table(spark, sf_dir, "answers"))
@@ -31,7 +41,7 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p6_found, p8_found, p8_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p8_found, p8_kept)}
 
 #: SQL for those queries that SQL can state; the others are tested against brute force.
 SQL: dict[str, str] = {}
