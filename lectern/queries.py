@@ -5,7 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lectern.operators import near_duplicates as nd
+from lectern.operators import similar_vectors as sv
+from lectern.tables import table
+
+#: Near-duplicate records of the corpus: runs of three words, similarity 0.7.
+CORPUS_RUN, CORPUS_SIMILARITY = 3, 0.7
+
+
+def _corpus_duplicates(spark: SparkSession, sf_dir: str) -> nd.NearDuplicates:
+    records = nd.corpus_records(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "parsed_docs"))
+    return nd.near_duplicates(records, CORPUS_RUN, CORPUS_SIMILARITY)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of nearly equal chunks and of nearly equal documents."""
+    return _corpus_duplicates(spark, sf_dir).pairs().withColumnRenamed("kind", "record_kind")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the class of its copies and the number of its links."""
+    return _corpus_duplicates(spark, sf_dir).groups()
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    vectors = table(spark, sf_dir, "chunk_vectors").select(F.col("chunk_id").alias("id"), F.col("embedded_at").alias("at"), "dense")
+    return sv.similar_vectors(vectors, dim=64, k=5, least=least)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of which one is among the five most similar of the other, at cosine 0.85 or more."""
+    return sv.pairs_of(_neighbours(spark, sf_dir, 0.85))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found)}
 
 SQL: dict[str, str] = {}
