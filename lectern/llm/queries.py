@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import leaks, pairs, residue, scans
+from lectern.llm import leaks, mixture, pairs, residue, scans
 from lectern.tables import table
 
 
@@ -31,6 +31,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "case_id").distinct()
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reaches in the mix."""
+    return _mixture(spark, sf_dir)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with template residue or without content, and the kind."""
     return residue.residue(table(spark, sf_dir, "documents"))
@@ -41,7 +55,7 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p8_found, p8_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p7_mix, p7_shares, p8_found, p8_kept)}
 
 #: SQL for those queries that SQL can state; the others are tested against brute force.
 SQL: dict[str, str] = {}
