@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import corpus_queries
 from lectern.operators import near_duplicates as nd
 from lectern.operators import packing
 from lectern.operators import similar_vectors as sv
@@ -108,6 +109,6 @@ WHERE greatest(1, length(text) // 4) > (SELECT max(capacity_tokens) FROM pack_li
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_neighbours, p5_found, p5_chunks, p5_small_chunks, p5_parents, p5_fill)
-}
+} | corpus_queries.QUERIES
 
-SQL: dict[str, str] = {"p2_found": SQL_P2, "p5_found": SQL_P5}
+SQL: dict[str, str] = {"p2_found": SQL_P2, "p5_found": SQL_P5} | corpus_queries.SQL
