@@ -148,5 +148,5 @@ def fill(packed: DataFrame, capacity: int) -> DataFrame:
     each = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"))
     total = F.coalesce(F.sum("tokens"), F.lit(0))
     return each.agg(
-        F.count("*").alias("containers"), total.alias("tokens"), F.ceil(total / capacity).cast("long").alias("least"), F.max("tokens").alias("fullest"), F.round(total / (F.count("*") * capacity), 6).alias("filled"),
+        F.count("*").alias("containers"), total.alias("tokens"), F.ceil(total / capacity).cast("long").alias("least"), F.max("tokens").alias("fullest"), F.round(F.try_divide(total, F.count("*") * capacity), 6).alias("filled"),
     )
