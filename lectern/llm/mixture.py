@@ -100,10 +100,11 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
         sums = inside.groupBy("source", F.shiftright("at", down).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         running = sums.withColumn("upto", F.sum("tokens").over(upto)).join(F.broadcast(state), "source")  # at most 2 ** BITS rows a source
-        fits = running.where(F.col("upto") <= F.col("left")).groupBy("source").agg(F.max("upto").alias("used"), F.max("bucket").alias("last"))
-        joined = state.join(fits, "source", "left")
+        fits = F.col("upto") <= F.col("left")
+        reached = running.groupBy("source").agg(F.max(F.when(fits, F.col("upto"))).alias("used"), F.max("bucket").alias("last"), F.min(F.when(~fits, F.col("bucket"))).alias("boundary"))
+        joined = state.join(reached, "source", "left")
         first = F.shiftleft("prefix", BITS)
-        state = materialise(joined.select("source", "repeats", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.coalesce(F.col("last") + 1, first).alias("prefix")), "budgets")
+        state = materialise(joined.select("source", "repeats", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.coalesce("boundary", F.col("last") + 1, first).alias("prefix")), "budgets")
     return state.select("source", "repeats", F.col("prefix").alias("below"))
 
 

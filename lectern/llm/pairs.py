@@ -34,7 +34,7 @@ SEEN, ENDS = 30, 0.004
 
 # ---- fixed values -------------------------------------------------------------------------
 #: Written forms of nothing.
-NOTHING = "none null nil nan na n a no text no answer answer antwort réponse respuesta undefined empty keine antwort sin respuesta pas de réponse tbd".split()
+NOTHING = ("none", "null", "nil", "nan", "na", "n a", "no text", "no answer", "answer", "antwort", "réponse", "respuesta", "undefined", "empty", "keine antwort", "sin respuesta", "pas de réponse", "tbd")
 #: Phrases by which an answer declines; used where a table is too small for templates to recur.
 DECLINE = (
     r"\b(?:sorry|afraid)\b.{0,40}\b(?:can ?not|can'?t|unable|outside)|\b(?:can'?t|cannot|unable to|not able to) (?:help with|answer|assist|reply)|not enough information|none of the passages|could ?n[o']t (?:locate|find|be found)"
@@ -74,7 +74,7 @@ def _bare(answer: str | None) -> str:
 def is_empty(answer: str | None) -> bool:
     """No content: nothing, marks only, or a written form of nothing."""
     own = W.words_of(_bare(answer))
-    return not own or (len(own) <= 3 and all(w in _NOTHING for w in own))
+    return not own or " ".join(own) in _NOTHING
 
 
 def is_copy(question: str | None, answer: str | None) -> bool:
@@ -153,7 +153,8 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(seen) > 200_000:
             yield counted()
             seen, ends, opens = Counter(), Counter(), Counter()
-    yield counted()
+    if seen:
+        yield counted()
 
 
 def sentence_ends(answers: DataFrame) -> DataFrame:

@@ -197,7 +197,8 @@ def _lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if len(pairs):
         yield pd.DataFrame({"kind": "b", "form": "", "pair": pairs.index.to_numpy("int64"), "n": pairs.to_numpy("int64")})
     for kind, counted in (("f", seen), ("j", joined)):
-        yield pd.DataFrame({"kind": kind, "form": list(counted), "pair": 0, "n": list(counted.values())})
+        if counted:
+            yield pd.DataFrame({"kind": kind, "form": list(counted), "pair": 0, "n": list(counted.values())})
 
 
 def lexicon(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
