@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.tables import materialise
+from lectern.tables import materialise, spread
 
 #: MinHash values of a record, and how they form bands.
 BANDS, ROWS = 32, 4
@@ -168,7 +168,7 @@ def near_duplicates(records: DataFrame, run: int = 5, threshold: float = 0.8) ->
     """
     records = records.select("kind", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
     limit = radius(threshold)
-    signed = records.mapInPandas(_signed(run), "kind string, id string, set_a long, set_b long, bands array<long>, print array<long>")
+    signed = spread(records).mapInPandas(_signed(run), "kind string, id string, set_a long, set_b long, bands array<long>, print array<long>")
     signed = materialise(signed, "signed")
     classes = signed.groupBy("kind", "set_a", "set_b").agg(F.min("id").alias("class"))
     members = materialise(signed.select("kind", "id", "set_a", "set_b").distinct().join(classes, ["kind", "set_a", "set_b"]).select("kind", "id", "class"), "members")

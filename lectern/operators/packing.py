@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
+from lectern.tables import spread
 
 #: Dimensions of the curve and bits of each.
 DIMS, BITS = 4, 8
@@ -126,7 +127,7 @@ def pack(items: DataFrame, key: list[str], capacity: int) -> DataFrame:
     """
     if capacity < 1:
         raise ValueError("the capacity must be at least one token")
-    keyed = items.select(*key, F.coalesce("text", F.lit("")).alias("text"))
+    keyed = spread(items).select(*key, F.coalesce("text", F.lit("")).alias("text"))
     lengths = keyed.withColumn("chars", F.length("text")).withColumn("tokens", tokens_of(F.col("text")))
     fields = ", ".join(f"{c} {t}" for c, t in lengths.drop("text").dtypes)
     at_curve = lengths.mapInPandas(_curve, f"{fields}, curve long")

@@ -93,11 +93,15 @@ def fuse(ranked: list[DataFrame], k: int, constant: int = DEFAULTS.rrf_constant)
 
 
 def word_postings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tf-idf postings (id, token, weight) of texts (id, text), of unit length, and the idf (token, idf)."""
+    """Tf-idf postings (id, token, weight) of texts (id, text), of unit length, and the idf (token, idf).
+
+    The idf is ln(texts / texts with the word); words in more than half of the texts carry nothing
+    for the search and have no postings, which keeps the join with queries from meeting all texts.
+    """
     words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token"))
     tf = words.groupBy("id", "token").agg(F.count("*").alias("tf"))
     total = texts.agg(F.countDistinct("id").alias("total"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("token", F.log(1 + F.col("total") / F.col("df")).alias("idf"))  # total is one row
+    idf = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("token", F.log(F.col("total") / F.col("df")).alias("idf"), F.greatest(F.lit(2), F.col("total")).alias("total"), "df").where(F.col("df") * 2 <= F.col("total")).select("token", "idf")  # total is one row
     weighted = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight")), idf

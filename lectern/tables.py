@@ -36,3 +36,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files make fewer partitions than there are cores.
+
+    Only inputs of a few files are moved by that; larger ones already have a partition a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
