@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
+from lectern.tables import spread
 
 #: Consecutive words of a reference text that count as a leak.
 RUN = 12
@@ -153,7 +154,7 @@ def leaks(docs: DataFrame, cases: DataFrame, broadcast_rows: int = BROADCAST_ROW
     wanted = items.select("item", "text").mapInPandas(_signatures("item", tuple(lengths)), "item bigint, length int, signature bigint")
     wanted = wanted.join(items.select("item", "length"), ["item", "length"]).distinct()
     small = wanted.count() <= broadcast_rows
-    signed = docs.mapInPandas(_signatures("doc_id", tuple(lengths)), "doc_id bigint, length int, signature bigint")
+    signed = spread(docs).mapInPandas(_signatures("doc_id", tuple(lengths)), "doc_id bigint, length int, signature bigint")
     found = signed.join(F.broadcast(wanted) if small else wanted, ["length", "signature"]).select("doc_id", "item").distinct()
     texts = items.select("item", "case_id", "whole", F.col("text").alias("item_text"))
     found = found.join(F.broadcast(texts) if small else texts, "item")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.tables import materialise
+from lectern.tables import materialise, spread
 
 #: Vocabulary file of the public tokenizer (byte-level BPE, as ranks).
 TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -60,7 +60,7 @@ def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     Documents without text or source can have no share and are left out.
     """
     named = docs.select("doc_id", source_name("source").alias("source"), "text").where("doc_id is not null and source is not null and text is not null and text != ''")
-    sized = named.mapInPandas(_counted(tokenizer), "doc_id long, source string, tokens long")
+    sized = spread(named).mapInPandas(_counted(tokenizer), "doc_id long, source string, tokens long")
     return sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("d")).select("doc_id", "d.source", "d.tokens", F.xxhash64("doc_id").alias("hash"))
 
 

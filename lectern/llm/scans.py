@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.tables import materialise
+from lectern.tables import materialise, spread
 
 #: A word is a dictionary word if it makes up this share of all words, and occurs this often.
 #: By the share there are at most 500,000 of them, whatever the size of the corpus.
@@ -331,7 +331,7 @@ def find(docs: DataFrame) -> Found:
 
     Repeated rows give repeated findings, which callers make distinct; null or empty texts give none.
     """
-    docs = docs.select("doc_id", "markdown", "title", "source_path").where(F.col("markdown").isNotNull())
+    docs = spread(docs.select("doc_id", "markdown", "title", "source_path").where(F.col("markdown").isNotNull()))
     forms, pairs = lexicon(docs)
     proposed, words = corrections(forms)
     stop = words.join(proposed.select("form").distinct(), "form", "left_anti").select("form")
