@@ -29,6 +29,8 @@ BANDS, ROWS = 18, 4
 PROMPTS = 3
 #: Share of a template's answers recorded as no answer that makes it a refusal.
 DECLINED = 0.3
+#: Share of a template's answers that cite sources from which it is an answer.
+CITING = 0.2
 #: Occurrences from which the learned sentence ends are trusted, and the least share of ends.
 SEEN, ENDS = 30, 0.004
 
@@ -42,7 +44,7 @@ DECLINE = (
     r"|reicht für eine antwort nicht|dazu steht nichts|nicht beantworten|kann ich .{0,30}nicht|ne suffit pas pour répondre|n'en disent rien|ne peux pas répondre|aucun passage"
     r"|no basta para dar|no dicen nada al respecto|no puedo responder|no hay información"
 )
-#: Words of the four languages that the other three lack.
+#: Common words of the four languages; those that two of them share have no vote.
 LANGUAGE_WORDS = {
     "en": "the of and is are to for with from which this that each any by was has have how does what when who why where be at an its it on as no yes if before after under must may",
     "de": "der die das und ist nicht auch wenn den dem für mit auf wird wurde wer muss hat nach zu im vom sind eine einen einer obwohl oder aber ohne darf niemand wie viele tage amt ja nein kurz gesagt sobald falls gelten",
@@ -62,7 +64,8 @@ _CITE = re.compile(r"\s*\[\d+\]")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
 _SENTENCE_END = re.compile(r"([^\W_]+)[\"”»')]*[.!?]+(?=\s|$)")
 _DECLINE = re.compile(DECLINE, re.I)
-_OWN = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
+_ALL = Counter(w for v in LANGUAGE_WORDS.values() for w in set(v.split()))
+_OWN = {k: frozenset(w for w in v.split() if _ALL[w] == 1) for k, v in LANGUAGE_WORDS.items()}
 _NOTHING, _DANGLING = frozenset(NOTHING), frozenset(DANGLING)
 
 
@@ -94,7 +97,7 @@ def language(text: str | None) -> tuple[str | None, dict[str, int]]:
     own = W.words_of(_QUOTED.sub(" ", _bare(text)))
     votes = {k: sum(w in v for w in own) for k, v in _OWN.items()}
     order = sorted(votes, key=lambda k: -votes[k])
-    clear = votes[order[0]] >= 3 and votes[order[0]] >= 1.5 * votes[order[1]] and votes[order[0]] >= 0.15 * len(own)
+    clear = votes[order[0]] >= 2 and votes[order[0]] >= 2 * votes[order[1]] and votes[order[0]] >= 0.08 * len(own)
     return (order[0] if clear else None), votes
 
 
@@ -126,13 +129,13 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for question, answer in zip(pdf["question"], pdf["answer"], strict=True):
             if is_empty(answer):
-                out.append(("empty", "", "", "", False))
+                out.append(("empty", "", "", "", False, False))
                 continue
             opens, last = left_open(answer)
             kind = "copy" if is_copy(question, answer) else "language" if is_foreign(question, answer) else "truncated" if opens else ""
             first, *rest = re.split(r"(?<=[.!?])\s+", _bare(answer), maxsplit=1)
-            out.append((kind, last, " ".join("0" if w.isdigit() else w for w in W.words_of(first)[:OPENING]), " ".join(W.words_of(rest[0] if rest else "")), bool(_DECLINE.search(answer)) and not any(c.isdigit() for c in answer) and len(W.words_of(answer)) <= 30))
-        yield pd.concat([pdf[["result_id", "prompt", "no_answer"]], pd.DataFrame(out, columns=["kind", "last", "opening", "tail", "declines"], index=pdf.index)], axis=1)
+            out.append((kind, last, " ".join("0" if w.isdigit() else w for w in W.words_of(first)[:OPENING]), " ".join(W.words_of(rest[0] if rest else "")), bool(_DECLINE.search(answer)) and not any(c.isdigit() for c in answer) and len(W.words_of(answer)) <= 30, bool(_CITE.search(answer))))
+        yield pd.concat([pdf[["result_id", "prompt", "no_answer"]], pd.DataFrame(out, columns=["kind", "last", "opening", "tail", "declines", "cites"], index=pdf.index)], axis=1)
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +226,7 @@ def defects(results: DataFrame, answers: DataFrame) -> DataFrame:
     own = results.where(F.col("refusal_correct").isNull() & F.col("result_id").isNotNull()).groupBy("result_id").agg(F.max_by(F.struct("question", "answer", "case_id"), F.struct(F.col("loaded_at").isNotNull(), "loaded_at")).alias("r"))
     pairs = own.select("result_id", "r.question", "r.answer", F.coalesce(F.col("r.case_id").cast("string"), "r.question").alias("prompt"))
     rows = pairs.join(said, "result_id", "left").select("result_id", "question", "answer", "prompt", "no_answer")
-    f = materialise(rows.mapInPandas(_features, "result_id long, prompt string, no_answer boolean, kind string, last string, opening string, tail string, declines boolean"), "pairs")
+    f = materialise(rows.mapInPandas(_features, "result_id long, prompt string, no_answer boolean, kind string, last string, opening string, tail string, declines boolean, cites boolean"), "pairs")
 
     # templates: openings that recur across unrelated prompts
     spoken = f.where("opening != ''")
@@ -231,9 +234,9 @@ def defects(results: DataFrame, answers: DataFrame) -> DataFrame:
     tails = spoken.where("tail != ''").groupBy("tail").agg((F.approx_count_distinct("prompt") >= PROMPTS).alias("stock"))
     cast = spoken.join(clusters, "opening").join(tails, "tail", "left").withColumn("bare", (F.col("tail") == "") | F.coalesce("stock", F.lit(False)))
     templates = cast.groupBy("cluster").agg(
-        F.approx_count_distinct("prompt").alias("prompts"), F.avg(F.coalesce(F.col("no_answer").cast("int"), F.lit(0))).alias("declined"), F.avg(F.col("bare").cast("int")).alias("bare_share"), F.avg(F.col("declines").cast("int")).alias("worded"),
+        F.approx_count_distinct("prompt").alias("prompts"), F.avg(F.coalesce(F.col("no_answer").cast("int"), F.lit(0))).alias("declined"), F.avg(F.col("bare").cast("int")).alias("bare_share"), F.avg(F.col("declines").cast("int")).alias("worded"), F.avg(F.col("cites").cast("int")).alias("cites"),
     )
-    refusing = templates.where(((F.col("prompts") >= PROMPTS) & (F.col("declined") >= DECLINED) & (F.col("bare_share") >= 0.5)) | ((F.col("worded") >= 0.5) & ((F.col("prompts") < PROMPTS) | (F.col("declined") > 0)))).select("cluster")
+    refusing = templates.where(((F.col("prompts") >= PROMPTS) & (F.col("declined") >= DECLINED) & (F.col("bare_share") >= 0.5) & (F.col("cites") < CITING)) | ((F.col("worded") >= 0.5) & ((F.col("prompts") < PROMPTS) | (F.col("declined") > 0)))).select("cluster")
     refusals = cast.where("bare or declines").join(refusing, "cluster").select("result_id", F.lit(True).alias("refuses"))
 
     # terminations: a last word that is common but never ends a sentence, a piece of a common word, or one seen at open ends only
