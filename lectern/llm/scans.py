@@ -54,7 +54,7 @@ _BREAK = re.compile(rf"([^\W\d_](?:[\w'{re.escape(_SIGNS)}]*[^\W_])?)[{HYPHENS}]
 _START = re.compile(r"^\s*([^\W\d_][^\s.,;:!?()\"“”\[\]]*)")
 _ROMAN = r"[ivxlc]{1,7}"
 _NUMBER = re.compile(rf"(?:[-–—~]\s*)?(?:\d{{1,4}}|{_ROMAN})(?:\s*[-–—~])?|[PpSs] ?[aáe] ?[gi] ?[ei] ?(?:n ?a)?[\s|:.]*\d+(?:\s*(?:of|/|von|de|sur)\s*\d+)?|\d{{1,4}}\s*(?:/|of|von|de|sur)\s*\d{{1,4}}|\S{{4,6}}\s\d{{1,4}}\s(?:of|von|de|sur)\s\d{{1,4}}")
-_STAMP = re.compile(r"(?:scanned|printed|copied|downloaded|received|office copy)\b.{0,60}\d|(?:volume|band|tome|tomo|vol\.)\s*[\divxlc]+\s*\|.*", re.I)
+_STAMP = re.compile(r"(?:scanned|printed|copied|downloaded|received)\b.{0,60}\d|\S{5,7} copy of .{3,60}\d|\S{6,8} at \S{6,8} \d{1,3}|(?:\S{4,7}|vol\.)\s*[\divxlc]+\s*\|[^|]*", re.I)
 _TRIM = re.compile(rf"^\s*(?:\d{{1,4}}|{_ROMAN})\s{{2,}}|\s{{2,}}(?:\d{{1,4}}|{_ROMAN})\s*$|\[{_ROMAN}\]|(?:\s*\*)+\s*$|\([^()]*\)\s*$")
 _TABLE = re.compile(r"\s*\|.*\|\s*$")
 _ALNUM = re.compile(r"[^a-z0-9]+")
@@ -72,7 +72,7 @@ def _is_head(line: str) -> bool:
     """Set like a heading: capitalised throughout, no sentence."""
     if ":" in line:
         return False
-    own = [w for w in re.split(r"[\s|]+", _TRIM.sub("", line).strip()) if w[:1].isalpha()]
+    own = [w for w in re.split(r"[\s|]+", _TRIM.sub("", _TRIM.sub("", line)).strip()) if w[:1].isalpha()]
     big = sum(w[0].isupper() for w in own)
     return 1 <= len(own) <= 9 and line[-1:] not in ".;,:?" and (big == len(own) or (len(own) > 2 and big >= len(own) - 2 and sum(w[0].islower() and len(w) > 3 for w in own) == 0))
 
@@ -91,7 +91,7 @@ def furniture(lines: list[str], title: str | None, path: str | None) -> list[boo
         elif _STAMP.fullmatch(line) and line[-1] != ".":
             out[i] = True
         elif line[0] not in "-*" and _is_head(line):
-            bare = _plain(_TRIM.sub("", line))
+            bare = _plain(_TRIM.sub("", _TRIM.sub("", line)))
             if any(_like(bare, n) for n in names):
                 out[i] = True
             else:
