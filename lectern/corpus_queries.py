@@ -183,6 +183,31 @@ def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("chunk_id", "doc_id", "parent_id", "seq", "token_count", F.array_join("section_path", " > ").alias("path"), F.md5("embed_text").alias("embed_md5"))
 
 
+@query("""SELECT DISTINCT doc_id, section_idx, block_idx, substr(sha1(coalesce(doc_id, '') || ':' || coalesce(section_idx::VARCHAR, '') || ':' || coalesce(block_idx::VARCHAR, '')), 1, 16) AS short_id FROM blocks""")
+def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional identity of every block."""
+    key = ["doc_id", "section_idx", "block_idx"]
+    return table(spark, sf_dir, "blocks").select(*key, T.short_id(*(F.col(c) for c in key)).alias("short_id")).distinct()
+
+
+@query("""WITH c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE kind = 'child' AND parent_id IS NOT NULL)
+SELECT parent_id, count(*) AS children, sum(greatest(1, length(text) // 4))::BIGINT AS token_count, coalesce(arg_min_null(page_start, seq), -1) AS page_start, coalesce(arg_max_null(page_end, seq), -1) AS page_end FROM c GROUP BY parent_id""")
+def parent_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children, size and pages of every parent: from its first child's first page to its last child's last."""
+    c = table(spark, sf_dir, "chunks").where("kind = 'child' and parent_id is not null").dropDuplicates(["chunk_id"])
+    spans = c.groupBy("parent_id").agg(F.count("*").alias("children"), F.sum(T.token_count(F.coalesce("text", F.lit("")))).alias("token_count"), F.min_by("page_start", "seq").alias("page_start"), F.max_by("page_end", "seq").alias("page_end"))
+    return spans.fillna(-1, ["page_start", "page_end"])
+
+
+@query(rf"""WITH {_PARSED}, l AS (SELECT doc_id, unnest(string_split(markdown, chr(10))) AS line FROM p)
+SELECT doc_id, md5(string_agg(DISTINCT k, '|' ORDER BY k)) AS keys_md5, count(DISTINCT k) AS keys FROM (SELECT doc_id, regexp_replace(lower(line), '\d+', '#', 'g') AS k FROM l) GROUP BY doc_id""".replace("\\\\", "\\"))
+def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct lines of every document with numbers masked, by digest."""
+    lines = _parsed(spark, sf_dir).select("doc_id", F.explode(F.split("markdown", "\n")).alias("line"))
+    keyed = lines.groupBy("doc_id").agg(F.array_sort(F.collect_set(T.match_key(F.col("line")))).alias("k"))
+    return keyed.select("doc_id", F.md5(F.array_join("k", "|")).alias("keys_md5"), F.size("k").cast("long").alias("keys"))
+
+
 # ---- registry -------------------------------------------------------------------------------
 
 _LATEST = """r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY (updated_at IS NOT NULL) DESC, updated_at DESC, coalesce(pipeline_version, -1) DESC, coalesce(content_hash, '') DESC) AS rn
@@ -364,10 +389,11 @@ def cited_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("query_id", F.array_join(F.transform(T.cited(F.col("text"), F.col("n")), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query()
+@query(f"""WITH {_ANSWERS}, b AS (SELECT query_id, text, list_filter(list_distinct(regexp_extract_all(text, '\\[\\d+\\]')), lambda m: coalesce(try_cast(m[2:-2] AS BIGINT), 0) NOT BETWEEN 1 AND n) AS bad FROM a)
+SELECT query_id, list_reduce(list_prepend(text, bad), lambda t, m: replace(t, m, '')) AS text FROM b""")
 def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without markers of sources that don't exist."""
-    a = table(spark, sf_dir, "answers").where("text is not null").select("query_id", "text", F.coalesce(F.size("sources"), F.lit(0)).alias("n")).distinct()
+    a = table(spark, sf_dir, "answers").where("text is not null and sources is not null").select("query_id", "text", F.size("sources").alias("n")).distinct()
     return a.select("query_id", T.without_invalid_citations(F.col("text"), F.col("n")).alias("text"))
 
 
@@ -380,6 +406,28 @@ def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("query_id", F.explode(shown).alias("s")).select("query_id", "s.n", "s.section", "s.pages").distinct()
 
 
+@query(f"""WITH a AS (SELECT DISTINCT query_id, no_answer, text, coalesce(len(sources), 0) AS blocks, (SELECT max(x) FROM (SELECT unnest(map_values(timings)) AS x)) AS longest FROM answers)
+SELECT query_id, no_answer, blocks, length(coalesce(text, '')) AS answer_chars, substr(coalesce(text, ''), 1, 600) AS snippet, CASE WHEN longest >= 1000 THEN format('{{:.1f}}s', longest / 1000.0) ELSE longest || 'ms' END AS longest FROM a""")
+def answer_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is traced of every answer."""
+    a = table(spark, sf_dir, "answers").select("query_id", "no_answer", "text", F.greatest(F.coalesce(F.size("sources"), F.lit(0)), F.lit(0)).cast("long").alias("blocks"), F.array_max(F.map_values("timings")).alias("longest")).distinct()
+    return a.select("query_id", "no_answer", "blocks", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("answer_chars"), T.snippet(F.coalesce("text", F.lit(""))).alias("snippet"), T.format_duration(F.col("longest")).alias("longest"))
+
+
+@query("""WITH c AS (SELECT DISTINCT case_id, result_id, question FROM case_results WHERE question IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY result_id DESC) AS back FROM c)
+SELECT case_id, md5(string_agg('user: ' || question, chr(10) ORDER BY result_id)) AS history_md5 FROM r WHERE back <= 6 GROUP BY case_id""")
+def question_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last six questions asked of every case, as a condensing prompt has them, by digest."""
+    rows = table(spark, sf_dir, "case_results").where("question is not null").select(F.col("case_id").alias("conv_id"), F.col("result_id").alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")).distinct()
+    return answering.history(rows).select(F.col("conv_id").alias("case_id"), F.md5("history").alias("history_md5"))
+
+
+@query("""SELECT DISTINCT result_id FROM case_results WHERE question IS NOT NULL AND length(question) BETWEEN 3 AND 2000""")
+def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose question a request may hold: 3 to 2,000 characters."""
+    return table(spark, sf_dir, "case_results").where(F.length("question").between(3, 2000)).select("result_id").distinct()
+
+
 # ---- evaluation -----------------------------------------------------------------------------
 
 _RESULTS = "c AS (SELECT DISTINCT ON (result_id) * FROM case_results)"
