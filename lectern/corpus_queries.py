@@ -407,11 +407,11 @@ def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT DISTINCT query_id, no_answer, text, coalesce(len(sources), 0) AS blocks, (SELECT max(x) FROM (SELECT unnest(map_values(timings)) AS x)) AS longest FROM answers)
-SELECT query_id, no_answer, blocks, length(coalesce(text, '')) AS answer_chars, substr(coalesce(text, ''), 1, 600) AS snippet, CASE WHEN longest >= 1000 THEN format('{{:.1f}}s', longest / 1000.0) ELSE longest || 'ms' END AS longest FROM a""")
+SELECT query_id, no_answer, blocks, length(coalesce(text, '')) AS answer_chars, substr(coalesce(text, ''), 1, 600) AS snippet, coalesce(longest, -1) AS longest_ms FROM a""")
 def answer_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is traced of every answer."""
     a = table(spark, sf_dir, "answers").select("query_id", "no_answer", "text", F.greatest(F.coalesce(F.size("sources"), F.lit(0)), F.lit(0)).cast("long").alias("blocks"), F.array_max(F.map_values("timings")).alias("longest")).distinct()
-    return a.select("query_id", "no_answer", "blocks", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("answer_chars"), T.snippet(F.coalesce("text", F.lit(""))).alias("snippet"), T.format_duration(F.col("longest")).alias("longest"))
+    return a.select("query_id", "no_answer", "blocks", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("answer_chars"), T.snippet(F.coalesce("text", F.lit(""))).alias("snippet"), F.coalesce("longest", F.lit(-1)).alias("longest_ms"))
 
 
 @query("""WITH c AS (SELECT DISTINCT case_id, result_id, question FROM case_results WHERE question IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY result_id DESC) AS back FROM c)

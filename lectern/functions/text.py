@@ -142,7 +142,7 @@ def without_invalid_citations(text: Column, blocks: Column) -> Column:
 
 def format_duration(ms: Column) -> Column:
     """Milliseconds, from one second on in seconds with one decimal."""
-    return F.when(ms >= 1000, F.format_string("%.1fs", ms / 1000)).otherwise(F.format_string("%dms", ms.cast("long")))
+    return F.when(ms >= 1000, F.format_string("%.1fs", ms / 1000)).otherwise(F.concat(ms.cast("long").cast("string"), F.lit("ms")))
 
 
 def unit_score(logit: Column) -> Column:

@@ -36,3 +36,18 @@ def test_queries_equal_their_sql(spark, data, name):
 
 def test_the_flagship_query_runs(spark, data):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [
+        ("p2_found", [("record_kind", "string"), ("id_a", "string"), ("id_b", "string")]), ("p3_found", [("id_a", "string"), ("id_b", "string")]),
+        ("p5_found", [("doc_id", "string"), ("section_idx", "int"), ("block_idx", "int")]),
+    ],
+)
+def test_results_have_the_stated_columns(spark, data, name, columns):
+    result = core.QUERIES[name](spark, data)
+    assert result.dtypes == columns
+    rows = result.collect()
+    assert len(rows) == len(set(rows))
+    assert all(r["id_a"] < r["id_b"] for r in rows if "id_a" in r)

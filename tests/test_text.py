@@ -74,3 +74,18 @@ def test_boilerplate(spark):
     assert keys == {("d", "page #"), ("d", "gazette"), ("q", "three of four")}
     left = cleaning.strip_boilerplate(items.where("doc_id = 'd'"), cleaning.boilerplate_keys(items))
     assert {r["raw"] for r in left.collect()} == {"only once"} | {str(p) for p in range(1, 11)}
+
+
+@pytest.mark.parametrize(("ms", "expected"), [(0, "0ms"), (999, "999ms"), (1000, "1.0s"), (25_260, "25.3s"), (None, None)])
+def test_durations(spark, ms, expected):
+    assert one(spark, T.format_duration(F.col("t")), ms, schema="t long") == expected
+
+
+def test_identities_markers_and_scores(spark):
+    row = spark.createDataFrame([("d", 0, "x", "3.", True)], "a string, b int, t string, m string, e boolean").select(
+        T.short_id(F.col("a"), F.col("b"), F.lit(None)).alias("i"), T.restore_marker(F.col("t"), F.col("m"), F.col("e")).alias("r"), T.unit_score(F.lit(0.0)).alias("s"), T.content_id(F.encode("a", "UTF-8")).alias("c"),
+    ).first()
+    import hashlib
+
+    assert row["i"] == hashlib.sha1(b"d:0:").hexdigest()[:16]
+    assert (row["r"], row["s"], row["c"]) == ("3. x", 0.5, hashlib.sha256(b"d").hexdigest()[:16])
