@@ -58,4 +58,19 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p7_mix, p7_shares, p8_found, p8_kept)}
 
 #: SQL for those queries that SQL can state; the others are tested against brute force.
-SQL: dict[str, str] = {}
+_CLEAN = r"""regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace({0}, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), '</?(b|i|u|em|strong|span|sup|sub|a|font|mark|code|small|big)(\s[^<>]*)?>', '', 'g'), '</?[a-zA-Z][^<>]{{0,200}}>', ' ', 'g')), '[\pL\pN]+')"""
+_JOINED = r"""regexp_replace({0}, '([\pL\pN])[-\x{{2010}}\x{{00AD}}\x{{00AC}}][ \t\x{{200B}}\x{{2060}}]*\r?\n[ \t>]*', '\1', 'g')"""
+_SPLIT = r"""regexp_replace({0}, '-[ \t]*\r?\n', '- ', 'g')"""
+
+#: Leaks by brute force: every run of twelve words, and every question in every document.
+SQL_P6 = f"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, {_CLEAN.format(_JOINED.format("text"))} AS w FROM d UNION ALL SELECT doc_id, {_CLEAN.format(_JOINED.format(_SPLIT.format("text")))} FROM d WHERE regexp_matches(text, '-[ \\t]*\\r?\\n')),
+r AS (SELECT DISTINCT case_id, {_CLEAN.format("reference_text")} AS w FROM eval_cases WHERE reference_text IS NOT NULL),
+q AS (SELECT DISTINCT case_id, ' ' || array_to_string({_CLEAN.format("question")}, ' ') || ' ' AS q FROM eval_cases WHERE question IS NOT NULL),
+dr AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM f WHERE len(w) >= 12),
+rr AS (SELECT DISTINCT case_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM r WHERE len(w) >= 12)
+SELECT doc_id, case_id FROM dr JOIN rr USING (run)
+UNION SELECT doc_id, case_id FROM f JOIN q ON contains(' ' || array_to_string(w, ' ') || ' ', q.q) WHERE length(q.q) > 2"""
+
+SQL: dict[str, str] = {"p6_found": SQL_P6}
