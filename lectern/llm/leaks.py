@@ -100,7 +100,7 @@ def test_items(cases: DataFrame) -> DataFrame:
     """
     question = cases.select("case_id", F.lit(True).alias("whole"), F.col("question").alias("text"))
     reference = cases.select("case_id", F.lit(False).alias("whole"), F.col("reference_text").alias("text"))
-    items = question.unionByName(reference).where(F.col("text").isNotNull()).distinct()
+    items = question.unionByName(reference).where(F.col("text").isNotNull() & F.col("case_id").isNotNull()).distinct()
     return items.withColumn("item", F.xxhash64("case_id", "whole", "text"))
 
 
@@ -138,10 +138,10 @@ def leaks(docs: DataFrame, cases: DataFrame, broadcast_rows: int = BROADCAST_ROW
     """(doc_id, case_id, whole) for every document that holds an item of a case.
 
     ``whole`` tells the question (all its words in a row) from the reference text (at least RUN
-    words in a row). Documents and cases may repeat rows or have null texts; references of fewer
-    than RUN words and questions without words give nothing.
+    words in a row). Documents and cases may repeat rows or have null texts; those
+    without id, references of fewer than RUN words and questions without words give nothing.
     """
-    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     items = test_items(cases).mapInPandas(_measure, "case_id bigint, whole boolean, text string, item bigint, words int")
     items = items.where((F.col("words") >= F.when(F.col("whole"), 1).otherwise(RUN)))
     least = F.lit(CLASSES[0])

@@ -17,9 +17,9 @@ def test_partial_passages_markup_and_broken_words(spark, limit):
     docs = [
         (1, "x " * 500 + REF + " y" * 500), (2, "Intro. " + " ".join(words[4:16]) + "!"), (3, " ".join(words[4:15])),
         (4, "<p>The <b>Har</b>bour​ Board — keeps, EVERY sworn barge at the out-\ner quay for ni­ne weeks and</p> then"),
-        (5, " ".join(words[:6]) + " but " + " ".join(words[6:14])), (6, None), (7, ""), (8, " ".join(f"{w}<br>" for w in words)), (9, "who keeps it? Yes"),
+        (5, " ".join(words[:6]) + " but " + " ".join(words[6:14])), (6, None), (None, REF), (7, ""), (8, " ".join(f"{w}<br>" for w in words)), (9, "who keeps it? Yes"),
     ]
-    cases = [(10, "Who keeps it?", REF), (11, "never asked in these words", None), (12, None, "too short for a run"), (13, "", "")]
+    cases = [(10, "Who keeps it?", REF), (11, "never asked in these words", None), (12, None, "too short for a run"), (13, "", ""), (None, None, REF)]
     assert found(spark, docs, cases, broadcast_rows=limit) == {(1, 10), (2, 10), (4, 10), (8, 10), (9, 10)}
 
 
