@@ -61,3 +61,9 @@ def test_equal_items_empty_tables_and_bad_capacity(spark):
     assert same.count() == 300
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([], SCHEMA), ["doc", "idx"], 0)
+
+
+def test_null_keys_are_keys(spark):
+    rows = [("d", None, "one text", 0, 0), ("d", None, "one longer text", 0, 0), (None, 1, "x" * 100, 0, 0), (None, 1, "x" * 100, 0, 0)]
+    packed = pack(spark.createDataFrame(rows, SCHEMA), ["doc", "idx"], 10).collect()
+    assert sorted((str(r["doc"]), str(r["idx"]), r["piece"], r["char_end"]) for r in packed) == [("None", "1", 0, 40), ("None", "1", 1, 80), ("None", "1", 2, 100), ("d", "None", 0, 15)]
