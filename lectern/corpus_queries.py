@@ -105,7 +105,11 @@ def boilerplate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.boilerplate_keys(keyed)
 
 
-@query()
+@query(rf"""WITH {_PARSED}, l AS (SELECT doc_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS pos FROM p),
+f AS (SELECT *, starts_with(regexp_replace(line, '^\s+', ''), '```') AS fence FROM l), c AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS in_code FROM f),
+d AS (SELECT doc_id, pos, CASE WHEN fence OR in_code OR starts_with(regexp_replace(line, '^\s+', ''), '|') THEN line
+ELSE regexp_replace(regexp_replace(translate(line, '‖―‗', '"-_'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS line FROM c)
+SELECT doc_id, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY pos), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS markdown FROM d GROUP BY doc_id""")
 def normalized_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown with prose normalised and tables and code untouched."""
     return cleaning.normalize_markdown(table(spark, sf_dir, "parsed_docs"))

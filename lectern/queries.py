@@ -92,16 +92,23 @@ def p5_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Pairs by brute force over shared runs of words; the sets are small enough for it at test scale.
-SQL_P2 = r"""
-WITH r AS (
+_SETS = r"""r AS (
     SELECT DISTINCT 'chunk' AS kind, chunk_id AS id, text FROM chunks WHERE kind = 'child' AND text IS NOT NULL
     UNION ALL SELECT DISTINCT 'doc', doc_id, markdown FROM parsed_docs WHERE markdown IS NOT NULL),
 w AS (SELECT kind, id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM r),
 s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS h FROM w WHERE len(w) >= 3),
 n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY ALL),
-c AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.kind = b.kind AND a.h = b.h AND a.id < b.id GROUP BY ALL)
-SELECT c.kind AS record_kind, id_a, id_b FROM c JOIN n x ON x.kind = c.kind AND x.id = id_a JOIN n y ON y.kind = c.kind AND y.id = id_b
-WHERE c.c >= 0.7 * (x.n + y.n - c.c)"""
+c AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.kind = b.kind AND a.h = b.h AND a.id < b.id GROUP BY ALL),
+p AS (SELECT c.kind, id_a, id_b FROM c JOIN n x ON x.kind = c.kind AND x.id = id_a JOIN n y ON y.kind = c.kind AND y.id = id_b WHERE c.c >= 0.7 * (x.n + y.n - c.c))"""
+
+SQL_P2 = f"WITH {_SETS} SELECT kind AS record_kind, id_a, id_b FROM p"
+
+SQL_P2_GROUPS = f"""WITH {_SETS},
+g AS (SELECT kind, id, md5(array_to_string(list_sort(list(h)), ',')) AS g FROM s GROUP BY ALL),
+m AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, g) AS class, count(*) OVER (PARTITION BY kind, g) AS copies FROM g),
+e AS (SELECT p.kind, id_a, id_b FROM p JOIN m x ON x.kind = p.kind AND x.id = id_a AND x.class = id_a JOIN m y ON y.kind = p.kind AND y.id = id_b AND y.class = id_b),
+d AS (SELECT kind, class, count(*) AS links FROM (SELECT kind, id_a AS class FROM e UNION ALL SELECT kind, id_b FROM e) GROUP BY ALL)
+SELECT m.kind, id, m.class, copies, coalesce(links, 0) AS links FROM m LEFT JOIN d ON d.kind = m.kind AND d.class = m.class"""
 
 SQL_P5 = """
 SELECT DISTINCT doc_id, section_idx, block_idx FROM blocks
@@ -111,4 +118,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_neighbours, p5_found, p5_chunks, p5_small_chunks, p5_parents, p5_fill)
 } | corpus_queries.QUERIES
 
-SQL: dict[str, str] = {"p2_found": SQL_P2, "p5_found": SQL_P5} | corpus_queries.SQL
+SQL: dict[str, str] = {"p2_found": SQL_P2, "p2_groups": SQL_P2_GROUPS, "p5_found": SQL_P5} | corpus_queries.SQL
