@@ -4,7 +4,8 @@ Method: multi-index hashing. Learned rotations (iterative quantisation, fitted o
 turn a vector into a binary code, the code is split into substrings and every substring is indexed.
 Two codes that differ in fewer bits than there are substrings share one of them (pigeonhole), so an
 equi-join on the substrings retrieves every code within that Hamming radius, and many beyond it.
-What is retrieved is ranked by the cosine of the vectors themselves.
+Longer substrings are shared by fewer of the true neighbours, so their number grows with their
+length. What is retrieved is ranked by the cosine of the vectors themselves.
 
 Vectors travel as unit vectors of 12-bit fixed-point numbers: a cosine of two of them is within
 0.0005 of the exact one at 64 dimensions, and a row is 96 bytes instead of 256.
@@ -23,8 +24,8 @@ from pyspark.sql.window import Window
 
 from lectern.tables import materialise
 
-#: Substrings of a code; each is one index.
-TABLES = 7
+#: Substrings of a code, each one index: at least so many, and so many per bit of a substring.
+TABLES, TABLES_A_BIT = 7, 1.5
 #: Mean size of a bucket, by which the bits of a substring follow from the number of vectors.
 BUCKET = 540
 #: Rows of the sample that the rotations are fitted on, and rounds of fitting.
@@ -167,17 +168,19 @@ def _buckets(tables: int, bits: int, dim: int, k: int, least: float):
     return run
 
 
-def similar_vectors(vectors: DataFrame, dim: int = 64, k: int = 5, least: float = -1.0, tables: int = TABLES, bucket: int = BUCKET) -> DataFrame:
+def similar_vectors(vectors: DataFrame, dim: int = 64, k: int = 5, least: float = -1.0, tables: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar others of every valid vector, at cosine ``least`` or more.
 
     ``vectors`` has id, at and dense; see latest_valid for which rows count. Ties are ranked by id.
     With fewer than two valid vectors the result is empty. Identical vectors beyond a block of
-    BLOCK rows find k of their equals, as good as any other.
+    BLOCK rows find k of their equals, as good as any other. ``tables`` follows from the number of
+    vectors where it isn't given.
     """
     valid = latest_valid(vectors, dim).withColumn("n", F.monotonically_increasing_id())
     valid = materialise(valid, "vectors")
     total = valid.count()
     bits = int(np.clip(np.rint(np.log2(max(total, 1) / bucket)), 1, 24))
+    tables = tables or max(TABLES, int(np.ceil(TABLES_A_BIT * bits)))
     # about SAMPLE rows by hash, the same on every run, without a sort that sends each partition's best
     chosen = valid.where(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < SAMPLE).select("packed").limit(2 * SAMPLE).toPandas().sort_values("packed")
     directions = fit_rotations(unpack(chosen["packed"], dim) if len(chosen) else np.empty((0, dim), np.float32), tables * bits)

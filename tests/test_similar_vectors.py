@@ -64,3 +64,20 @@ def test_a_hot_code_is_divided(spark, monkeypatch):
     out = module.similar_vectors(spark.createDataFrame(rows, SCHEMA), 64, 3, 0.9).groupBy("id").count().collect()
     assert len(out) >= 290
     assert all(r["count"] == 3 for r in out)
+
+
+def brute_force(x, k, least):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    best = np.argsort(-cos, axis=1)[:, :k]
+    return {(i, int(j)) for i in range(len(x)) for j in best[i] if cos[i, j] >= least}
+
+
+def test_recall_holds_with_long_substrings(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(900, 64)), 2, axis=0) + rng.normal(size=(1800, 64)) * 0.38
+    rows = [(str(i), day(0), [float(a) for a in row]) for i, row in enumerate(x)]
+    got = {(int(r["id"]), int(r["neighbour"])) for r in similar_vectors(spark.createDataFrame(rows, SCHEMA), 64, 1, 0.8, bucket=1).collect()}
+    true = brute_force(x, 1, 0.8)
+    assert len(true & got) / len(true) >= 0.9
