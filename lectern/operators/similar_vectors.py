@@ -5,7 +5,8 @@ turn a vector into a binary code, the code is split into substrings and every su
 Two codes that differ in fewer bits than there are substrings share one of them (pigeonhole), so an
 equi-join on the substrings retrieves every code within that Hamming radius, and many beyond it.
 Longer substrings are shared by fewer of the true neighbours, so their number grows with their
-length. What is retrieved is ranked by the cosine of the vectors themselves.
+length. What is retrieved is ranked by the cosine of the vectors themselves: all rows of a bucket
+meet, those of a large one in pairs of parts.
 
 Vectors travel as unit vectors of 12-bit fixed-point numbers: a cosine of two of them is within
 0.0005 of the exact one at 64 dimensions, and a row is 96 bytes instead of 256.
@@ -27,12 +28,14 @@ from lectern.tables import materialise
 #: Substrings of a code, each one index: at least so many, and so many per bit of a substring.
 TABLES, TABLES_A_BIT = 7, 1.5
 #: Mean size of a bucket, by which the bits of a substring follow from the number of vectors.
-BUCKET = 540
+BUCKET = 8_192
 #: Rows of the sample that the rotations are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 25
-#: Rows that are compared with each other at once; larger buckets are split by further bits.
-BLOCK = 4_096
-#: Codes in hot buckets up to this number (about 10 MB) are broadcast, more are joined by shuffle.
+#: Rows of a part of a bucket: buckets above four times that are divided, and each two parts meet.
+BLOCK = 8_192
+#: Rows whose cosines with a bucket are in memory at once.
+STRIP = 256
+#: Copies up to this number (about 10 MB) are broadcast, more are joined by shuffle.
 HOT_ROWS = 200_000
 
 _SCALE = 2047.0
@@ -99,81 +102,135 @@ def fit_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> np.nda
     return np.concatenate(out, axis=1)[:, :bits]
 
 
+def _keys(packed: pd.Series, directions: np.ndarray, tables: int, bits: int, dim: int) -> np.ndarray:
+    """(rows, tables) substrings of the codes."""
+    signs = (unpack(packed, dim) @ directions > 0).reshape(len(packed), tables, bits)
+    return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+
+
+def _sizes(directions: np.ndarray, tables: int, bits: int, dim: int):
+    """mapInPandas function: (bucket, own), the rows of each bucket in a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                bucket, own = np.unique(_keys(pdf["packed"], directions, tables, bits, dim) + (np.arange(tables, dtype=np.int32) << bits), return_counts=True)
+                yield pd.DataFrame({"bucket": bucket, "own": own})
+
+    return run
+
+
 def _substrings(directions: np.ndarray, tables: int, bits: int, dim: int):
-    """mapInPandas function: one row per vector and substring (table, key), with all keys of the code."""
+    """mapInPandas function: one row per vector and substring, with the substrings of the earlier tables."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(bits)
         for pdf in batches:
             if not len(pdf):
                 continue
-            signs = (unpack(pdf["packed"], dim) @ directions > 0).reshape(len(pdf), tables, bits)
-            keys = (signs * weights).sum(axis=2).astype(np.int32)
-            code = [r.tobytes() for r in keys.astype(np.uint16 if bits <= 16 else np.uint32)]
-            yield pd.DataFrame({
-                "bucket": (keys + (np.arange(tables, dtype=np.int32) << bits)).ravel(), "n": np.repeat(pdf["n"].to_numpy(), tables),
-                "packed": np.repeat(pdf["packed"].to_numpy(), tables), "code": np.repeat(np.array(code, dtype=object), tables),
-            })
+            keys = _keys(pdf["packed"], directions, tables, bits, dim)
+            code = [r.tobytes() for r in keys.astype(_code_type(bits))]
+            width = _code_type(bits)().itemsize
+            for t in range(tables):
+                yield pd.DataFrame({"bucket": keys[:, t] + (t << bits), "n": pdf["n"], "packed": pdf["packed"], "code": [c[: t * width] for c in code]})
 
     return run
 
 
-def _best(n: np.ndarray, x: np.ndarray, code: np.ndarray, table: int, k: int, least: float) -> pd.DataFrame:
-    """The k best of each row among the others of a bucket, if no earlier table has the pair."""
-    cos = x @ x.T
-    np.fill_diagonal(cos, -2.0)
-    take = min(k, len(n) - 1)
-    best = np.argpartition(-cos, take - 1, axis=1)[:, :take]
-    row = np.repeat(np.arange(len(n)), take)
-    col = best.ravel()
-    keep = cos[row, col] >= least
-    row, col = row[keep], col[keep]
-    first = ~(code[row, :table] == code[col, :table]).any(axis=1) if table else np.ones(len(row), bool)
-    row, col = row[first], col[first]
-    return pd.DataFrame({"a": n[row], "b": n[col], "cos": cos[row, col]})
-
-
-def _buckets(tables: int, bits: int, dim: int, k: int, least: float):
-    """mapInPandas function over rows sorted by bucket: each bucket's best pairs."""
+def _code_type(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
+
+
+def _top(cos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row that are ``least`` or more."""
+    width = cos.shape[1]
+    floor = np.full(len(cos), np.float32(least))
+    if width >= 128 * k:
+        # the k-th greatest of the maxima of stretches is no greater than the k-th greatest of all
+        even = width // 64 * 64
+        maxima = cos[:, :even].reshape(len(cos), -1, 64).max(axis=2)
+        floor = np.maximum(floor, np.partition(maxima, -k, axis=1)[:, -k])
+    row, col = np.nonzero(cos >= floor[:, None])
+    order = np.lexsort((col, -cos[row, col], row))
+    row, col = row[order], col[order]
+    start = np.searchsorted(row, np.arange(len(cos)))
+    keep = np.arange(len(row)) - start[row] < k
+    return row[keep], col[keep]
+
+
+def _best(left: np.ndarray, right: np.ndarray, n: np.ndarray, x: np.ndarray, code: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
+    """The k best in ``right`` of each row in ``left``, if no earlier table has the pair."""
+    y = np.ascontiguousarray(x[right].T)
+    for lo in range(0, len(left), STRIP):
+        own = left[lo : lo + STRIP]
+        cos = x[own] @ y
+        if left is right:
+            cos[np.arange(len(own)), np.arange(lo, lo + len(own))] = -2.0
+        row, col = _top(cos, k, max(least, -1.5))
+        a, b = own[row], right[col]
+        first = ~(code[a] == code[b]).any(axis=1)
+        yield pd.DataFrame({"a": n[a[first]], "b": n[b[first]], "cos": cos[row[first], col[first]]})
+
+
+def _buckets(bits: int, dim: int, k: int, least: float):
+    """mapInPandas function over rows sorted by bucket and salt: each group's best pairs.
+
+    A group is a whole bucket, one part of a bucket, or two parts of which only rows of different
+    parts meet; ``side`` tells the parts apart.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        rest: list[pd.DataFrame] = []
 
         def done(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if len(part) < 2:
-                return
-            bucket, n = part["bucket"].to_numpy(), part["n"].to_numpy()
-            x = unpack(part["packed"], dim)
-            code = np.frombuffer(b"".join(part["code"]), np.uint16 if bits <= 16 else np.uint32).reshape(len(part), tables)
-            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part["salt"].to_numpy()[1:] != part["salt"].to_numpy()[:-1]), True])
-            found = []
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                for lo in range(i, j, BLOCK):
-                    hi = min(lo + BLOCK, j)
-                    if hi - lo > 1:
-                        found.append(_best(n[lo:hi], x[lo:hi], code[lo:hi], int(bucket[i]) >> bits, k, least))
-            if found:
-                yield pd.concat(found)
+            n, x, side = part["n"].to_numpy(), unpack(part["packed"], dim), part["side"].to_numpy()
+            code = np.frombuffer(b"".join(part["code"]), _code_type(bits)).reshape(len(part), int(part["bucket"].iloc[0]) >> bits)
+            sides = [np.flatnonzero(side == i) for i in (0, 1)]
+            if len(sides[1]):
+                yield from _best(sides[0], sides[1], n, x, code, k, least)
+                yield from _best(sides[1], sides[0], n, x, code, k, least)
+            elif len(part) > 1 and part["meets"].iloc[0]:
+                yield from _best(sides[0], sides[0], n, x, code, k, least)
 
         for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (rest["bucket"] == rest["bucket"].iloc[-1]) & (rest["salt"] == rest["salt"].iloc[-1])
-            whole = len(rest) if last.all() and len(rest) >= BLOCK else int((~last).sum())
-            if whole:
-                yield from done(rest.iloc[:whole])
-                rest = rest.iloc[whole:].reset_index(drop=True) if whole < len(rest) else None
-        if rest is not None:
-            yield from done(rest)
+            bucket, salt = pdf["bucket"].to_numpy(), pdf["salt"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1]), True])
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if rest and (rest[0]["bucket"].iloc[0] != bucket[i] or rest[0]["salt"].iloc[0] != salt[i]):
+                    yield from done(pd.concat(rest, ignore_index=True))
+                    rest = []
+                rest.append(pdf.iloc[i:j])
+        if rest:
+            yield from done(pd.concat(rest, ignore_index=True))
 
     return run
 
 
+def _without_copies(valid: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows to be searched, k + 1 at most of each vector, and the pairs (a, b, cos) of the further copies.
+
+    No row needs more than k copies of any vector, and a further copy has its k best in the first k.
+    """
+    same = F.xxhash64("packed")
+    copies = materialise(valid.groupBy(same.alias("same")).agg(F.count("*").alias("copies")).where(F.col("copies") > k + 1).select("same"), "copies")
+    if copies.isEmpty():
+        return valid, None
+    small = F.broadcast(copies) if copies.count() <= HOT_ROWS else copies
+    copied = valid.withColumn("same", same).join(small, "same")
+    first = copied.withColumn("copy", F.row_number().over(Window.partitionBy("packed").orderBy("n"))).where(F.col("copy") <= k + 1).select("n", "same", "packed", "copy")
+    first = materialise(first, "first")
+    further = copied.select("n", "same", "packed").join(first.select("n"), "n", "left_anti")
+    once = valid.withColumn("same", same).join(small, "same", "left_anti").select("n", "packed")
+    firsts = first.where(F.col("copy") <= k).select("same", F.col("packed").alias("p"), F.col("n").alias("b"))
+    firsts = F.broadcast(firsts) if firsts.count() <= HOT_ROWS else firsts
+    pairs = further.join(firsts, "same").where(F.col("packed") == F.col("p")).select(F.col("n").alias("a"), "b", F.lit(1.0).cast("float").alias("cos"))
+    return once.unionByName(first.select("n", "packed")), pairs
+
+
 def similar_vectors(vectors: DataFrame, dim: int = 64, k: int = 5, least: float = -1.0, tables: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar others of every valid vector, at cosine ``least`` or more.
 
     ``vectors`` has id, at and dense; see latest_valid for which rows count. Ties are ranked by id.
-    With fewer than two valid vectors the result is empty. Identical vectors beyond a block of
-    BLOCK rows find k of their equals, as good as any other. ``tables`` follows from the number of
+    With fewer than two valid vectors the result is empty. ``tables`` follows from the number of
     vectors where it isn't given.
     """
     valid = latest_valid(vectors, dim).withColumn("n", F.monotonically_increasing_id())
@@ -184,20 +241,24 @@ def similar_vectors(vectors: DataFrame, dim: int = 64, k: int = 5, least: float
     # about SAMPLE rows by hash, the same on every run, without a sort that sends each partition's best
     chosen = valid.where(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < SAMPLE).select("packed").limit(2 * SAMPLE).toPandas().sort_values("packed")
     directions = fit_rotations(unpack(chosen["packed"], dim) if len(chosen) else np.empty((0, dim), np.float32), tables * bits)
-    coded = "bucket int, n long, packed binary, code binary"
-    rows = valid.select("n", "packed").mapInPandas(_substrings(directions, tables, bits, dim), coded)
-    # a hot bucket is divided by the rest of the code, and rows of one hot code by their numbers
-    sizes = rows.groupBy("bucket", "code").agg(F.count("*").alias("own"))
-    hot = sizes.withColumn("all", F.sum("own").over(Window.partitionBy("bucket"))).where(F.col("all") > 4 * BLOCK)
-    hot = materialise(hot.select("bucket", "code", (F.col("all") / (2 * BLOCK)).cast("int").alias("parts"), (F.col("own") / (2 * BLOCK) + 1).cast("int").alias("slices")), "hot")
-    salt = F.lit(0)
-    if not hot.isEmpty():
-        small = hot.count() <= HOT_ROWS
-        rows = rows.join(F.broadcast(hot) if small else hot, ["bucket", "code"], "left")
-        slices = F.when(F.col("slices") > 2, F.pmod((F.col("n") / BLOCK).cast("int"), F.col("slices"))).otherwise(0)
-        salt = F.coalesce(F.hash(F.pmod(F.xxhash64("code"), F.greatest("parts", F.lit(1))), slices), F.lit(0))
-    spread = rows.withColumn("salt", salt.cast("int")).select("bucket", "n", "packed", "code", "salt").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "code", "n")
-    pairs = spread.mapInPandas(_buckets(tables, bits, dim, k, least), "a long, b long, cos float")
+    searched, further = _without_copies(valid.select("n", "packed"), k)
+    rows = searched.mapInPandas(_substrings(directions, tables, bits, dim), "bucket int, n long, packed binary, code binary")
+    salt, side, meets = F.lit(0), F.lit(0), F.lit(True)
+    if total > 4 * BLOCK:
+        # a large bucket is divided into parts, and each two parts meet in a group of their own
+        sizes = searched.select("packed").mapInPandas(_sizes(directions, tables, bits, dim), "bucket int, own long").groupBy("bucket").agg(F.sum("own").alias("all"))
+        hot = materialise(sizes.where(F.col("all") > 4 * BLOCK).select("bucket", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts")), "hot")
+        if not hot.isEmpty():
+            # as many rows as buckets that hold 4 BLOCK rows or more
+            rows = rows.join(F.broadcast(hot), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int"))
+            rows = rows.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+            salt = F.when(F.col("parts").isNull(), 0).otherwise(F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
+            side = F.when(F.col("part") > F.col("other"), 1).otherwise(0)
+            meets = F.col("parts").isNull() | (F.col("part") == F.col("other"))
+    spread = rows.select("bucket", "n", "packed", "code", salt.cast("int").alias("salt"), side.cast("int").alias("side"), meets.alias("meets"))
+    spread = spread.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "n")
+    pairs = spread.mapInPandas(_buckets(bits, dim, k, least), "a long, b long, cos float")
+    pairs = pairs if further is None else pairs.unionByName(further)
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     names = valid.select("n", "id")
