@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,23 +70,25 @@ _SHELL = re.compile(SHELL, re.I)
 _DEFAULT = re.compile(LABEL_LINE)
 _COMMON_SET = frozenset(COMMON_WORDS)
 
-#: Words of which one at least is in every notice and dummy phrase above.
+#: Words of which one at least is in every notice above, and in every dummy phrase.
 _HINT = re.compile(
-    r"error|erreur|fehler|http|status|page|script|browser|cookies|exception|denied|permission|session|request|gateway|unavailable|maintenance|connect|wrong|find that|expired|página|introuvable|gefunden|verfügbar|pointer|trace"
-    r"|\?\?|tb[acd]|to be|coming soon|ipsum|dolor|sample|dummy|filler|placeholder|goes here|blindtext|platzhalter|texte|texto|section title|layout"
+    r"error|erreur|fehler|http|status|page|script|browser|cookies|exception|denied|permission|session|request|gateway|unavailable|maintenance|connect|wrong|find\s+that|been\s+moved|expired|página|introuvable|gefunden|verfügbar|pointer|trace"
 )
+_DUMMY_HINT = re.compile(r"ipsum|dolor|sample|dummy|filler|placeholder|goes\s+here|blindtext|platzhalter|texte|texto|section\s+title|layout")
 
-#: A page of notices is short; longer texts are looked at further only where common words are scarce.
-PAGE_CHARS = 900
+
+@lru_cache(1 << 16)
+def _mock(word: str) -> bool:
+    return bool(_LATIN.fullmatch(word) or _MASH.fullmatch(word))
 
 
 def page_kind(text: str) -> str | None:
     """Kind of a page without content, or None for a page with content."""
     low = text.lower()
-    tokens = low.split()
-    common = sum(map(_COMMON_SET.__contains__, tokens)) / max(1, len(tokens))
-    if len(text) >= PAGE_CHARS and common >= 0.1 or len(tokens) > 25 and common >= 0.2 and len(set(tokens)) > 0.4 * len(tokens) and not _HINT.search(low):
-        return None  # running text: most pages end here
+    may_notice, may_dummy = _HINT.search(low) is not None, _DUMMY_HINT.search(low) is not None
+    left = _WORD.findall(low)
+    # no more than this many words can still be dummy: a line of them is mock Latin or stated to six tenths
+    left_words, left_mock = len(left), sum(map(_mock, left))
     lines = [" ".join(x.split()).replace("’", "'") for x in text.split("\n")]
     lines = [x for x in lines if x]
     if not lines:
@@ -93,30 +96,35 @@ def page_kind(text: str) -> str | None:
     notices, dummy, fields, rest = {"error_page": 0, "script_notice": 0}, 0, 0, 0
     after_title = len(lines) > 1 and _SHELL.fullmatch(lines[1]) is not None and lines[1].lower().startswith("published")
     sentences: list[str] = []
+    own_text: set[str] = set()
     for i, line in enumerate(lines):
+        if rest > 8 and len(own_text) > 1 and rest > dummy + (left_words if may_dummy else left_mock / 0.6):
+            return None  # no rule below can be met any more: most pages end here
         own = _WORD.findall(line.lower())
+        mock = sum(map(_mock, own))
+        left_words, left_mock = left_words - len(own), left_mock - mock
         if _SHELL.fullmatch(line) or (i == 0 and after_title):
             continue
         if _DEFAULT.fullmatch(line):
             fields += 1
             continue
-        if len(own) <= 25 and _SCRIPT.search(line):
+        if may_notice and len(own) <= 25 and _SCRIPT.search(line):
             notices["script_notice"] += 1
-        elif len(own) <= 25 and _ERROR.search(line):
+        elif may_notice and len(own) <= 25 and _ERROR.search(line):
             notices["error_page"] += 1
         else:
-            sentences += [s.strip().lower() for s in re.split(r"(?<=[.!?])\s+", line) if s.strip()]
-            mock = sum(1 for w in own if _LATIN.fullmatch(w) or _MASH.fullmatch(w))
+            here = [s.strip().lower() for s in re.split(r"(?<=[.!?])\s+", line) if s.strip()]
+            sentences += here
+            own_text.update(s for s in here if not (may_dummy and _DUMMY.search(s)))
             common = sum(1 for w in own if w in _COMMON_SET)
-            stated = sum(len(_WORD.findall(m.group(0))) for m in _DUMMY.finditer(line))
+            stated = sum(len(_WORD.findall(m.group(0))) for m in _DUMMY.finditer(line)) if may_dummy else 0
             if own and (mock + stated) / len(own) >= 0.6 and common / len(own) < 0.3:
                 dummy += len(own)
             else:
                 rest += len(own)
-    own_text = [s for s in sentences if not _DUMMY.search(s)]
     if dummy and dummy >= rest:
         return "filler"
-    if len(sentences) >= 3 and len(set(own_text)) <= 1 and len(sentences) > len(set(sentences)):
+    if len(sentences) >= 3 and len(own_text) <= 1 and len(sentences) > len(set(sentences)):
         return "filler"  # one sentence over and over
     if fields and rest == 0 and not any(notices.values()):
         return "filler"  # labels without a text in which a slot could have been left

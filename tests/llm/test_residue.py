@@ -58,3 +58,10 @@ def test_copies_with_small_edits_stay_residue(spark):
     text = f"Heading of the gazette. In every letter the clerk [OFFICER] signs for the port. {BODY}"
     texts = [text + f" Edited {i}." for i in range(30)] + [text.replace("Heading", f"Heading {c}") for c in "abcdefgh"]
     assert set(found(spark, texts)) == set(range(len(texts)))
+
+
+@pytest.mark.parametrize("times", [15, 25, 400])
+def test_length_does_not_hide_filler(times):
+    assert R.page_kind("This is placeholder text for the layout of the page. " * times) == "filler"
+    assert R.page_kind("The clerk of the port is at the desk for you. " * times) == "filler"
+    assert R.page_kind("Any of the desks is open on the day of the fair. " * times + BODY) is None
