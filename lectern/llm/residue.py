@@ -3,7 +3,8 @@
 Method: sentences of all records are aligned by their opening words; where aligned records differ
 there is a slot, and a slot that still holds a variable name, a default or a blank is residue. A
 sentence that recurs unchanged beside different neighbours is a constant of its template, not a
-slot, so texts that merely show a placeholder are kept. Whole pages are compared by their lines
+slot, so texts that merely show a placeholder are kept; an unambiguous variable must also be quoted or
+explained in it, since true residue recurs unchanged in large tables. Whole pages are compared by their lines
 with numbers masked: pages that consist of notices alone, of dummy words or of unfilled labels are
 error pages, script notices, filler and placeholders.
 """
@@ -62,6 +63,11 @@ MASH = r"[asdfghjkl]{3,6}|[qwertyuiop]{4,6}|[zxcvbnm]{3,6}|fdsa|jkl|x{2,}|test|f
 # -------------------------------------------------------------------------------------------
 
 MARK = f"(?:{STRONG}|{WEAK})"
+#: Sentences that speak of a mark (masked) instead of using it: it is quoted, or they explain templates.
+SHOWN = (
+    r"""["“”„'‘’‚»›]□["“”'‘’«‹]"""
+    r"|\bmarks? □|(?i:\b(?:templates?|placeholders?|variables?|merge fields?|stands? for|syntax|vorlagen?|platzhalter|steht für|modèles?|gabarits?|plantillas?|marcador(?:es)?)\b)"
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("(?:" + "|".join(sorted(SYLLABLES, key=len, reverse=True)) + ")+")
 _MASH = re.compile(MASH)
@@ -195,9 +201,12 @@ def slot_residue(docs: DataFrame) -> DataFrame:
     weak_proof = (F.col("sentences") >= 2) | (F.col("fillers") >= 2) | (F.coalesce("aligned", F.lit(0)) > F.col("unfilled")) | (F.col("copies") <= 2) | (F.col("beside") * 2 < F.col("copies"))
     # copies of one text with small edits mostly keep the neighbour, so it must differ as a rule
     fixed = (F.col("beside") >= 4) & (F.col("copies") >= 4) & (F.col("beside") * 2 >= F.col("copies")) & (F.length("s") >= 20)
+    # true residue recurs too, the more the larger the table: an unambiguous variable must also be shown as one
+    strong = F.col("literal").rlike(f"^(?:{STRONG})$")
+    fixed = fixed & (~strong | F.regexp_replace("s", STRONG, "□").rlike(SHOWN))
     return aligned.select(
         "doc_id", "literal", F.col("s").alias("sentence"), F.coalesce("aligned", F.lit(0)).alias("aligned"), "fillers",
-        (~fixed & (F.col("literal").rlike(f"^(?:{STRONG})$") | weak_proof)).alias("slot"),
+        (~fixed & (strong | weak_proof)).alias("slot"),
     )
 
 

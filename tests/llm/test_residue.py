@@ -65,3 +65,10 @@ def test_length_does_not_hide_filler(times):
     assert R.page_kind("This is placeholder text for the layout of the page. " * times) == "filler"
     assert R.page_kind("The clerk of the port is at the desk for you. " * times) == "filler"
     assert R.page_kind("Any of the desks is open on the day of the fair. " * times + BODY) is None
+
+
+def test_recurring_unambiguous_residue_stays_residue(spark):
+    texts = [f"Heading number {'abcdefghijkl'[i]} of the gazette.\n\nThe letter is signed: @@valid_until@@\n\n{BODY} This is text {i}." for i in range(12)]
+    assert set(found(spark, texts)) == set(range(12))
+    shown = [f"Heading number {'abcdefghijkl'[i]} of the gazette. In templates the mark {{{{ officer }}}} stands for the clerk. {BODY} This is text {i}." for i in range(12)]
+    assert found(spark, shown) == {}
