@@ -1,11 +1,11 @@
 """Template residue and pages that hold a message instead of content.
 
 Method: sentences of all records are aligned by their opening words; where aligned records differ
-there is a slot, and a slot that still holds a variable name, a default or a blank is residue. A
+there is a slot, and a slot that still holds a variable name is residue. A
 sentence that recurs unchanged beside different neighbours is a constant of its template, not a
 slot, so texts that merely show a placeholder are kept; an unambiguous variable must also be quoted or
-explained in it, since true residue recurs unchanged in large tables. Whole pages are compared by their lines
-with numbers masked: pages that consist of notices alone, of dummy words or of unfilled labels are
+explained in it, since true residue recurs unchanged in large tables. Each page
+is judged by its own lines: pages that consist of notices alone, of dummy words or of unfilled labels are
 error pages, script notices, filler and placeholders.
 """
 
