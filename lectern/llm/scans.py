@@ -3,9 +3,12 @@
 Method: a lexicon of all words of the corpus with their frequencies; a symmetric-delete index over the
 frequent words proposes corrections for the others; an edit distance weighted by the letters that
 recognition confuses ranks them, and the frequency of the resulting word pairs picks among them.
-Page heads, feet and numbers are told from the text by form, by the document's own title and office
-and by their neighbours; words broken at line ends are joined where the lexicon knows the whole
-word rather than the compound.
+Page heads and feet are told from the text by recurrence: the same line, apart from its numbers, comes
+again page after page, cuts sentences in two, counts pages or stands beside a page number. Words broken
+at line ends are joined where the lexicon knows the whole word rather than the compound.
+
+Texts are tokenised once. The tokens are written as numbers into a dictionary of their chunk of
+documents; the lexicon and the search for odd words both read that table.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SHARE, LEAST = 2e-6, 5
 RATIO, LETTERS_RATIO = 20, 200
 #: Highest weighted edit distance of a correction: less than two confusions of single letters, which is how typing errors look.
 COST = 0.8
+#: Repeated rows up to this number (about 3 MB) are broadcast when they are left out, more are joined by shuffle.
+REPEATS = 300_000
 #: Shortest form that is corrected; shorter than SHORT only with a sign that no word has, or next to a known pair.
 MIN_LENGTH, SHORT = 2, 5
 
@@ -54,10 +59,11 @@ _BREAK = re.compile(rf"([^\W\d_](?:[\w'{re.escape(_SIGNS)}]*[^\W_])?)[{HYPHENS}]
 _START = re.compile(r"^\s*([^\W\d_][^\s.,;:!?()\"“”\[\]]*)")
 _ROMAN = r"[ivxlc]{1,7}"
 _NUMBER = re.compile(rf"(?:[-–—~]\s*)?(?:\d{{1,4}}|{_ROMAN})(?:\s*[-–—~])?|[PpSs] ?[aáe] ?[gi] ?[ei] ?(?:n ?a)?[\s|:.]*\d+(?:\s*(?:of|/|von|de|sur)\s*\d+)?|\d{{1,4}}\s*(?:/|of|von|de|sur)\s*\d{{1,4}}|\S{{4,6}}\s\d{{1,4}}\s(?:of|von|de|sur)\s\d{{1,4}}")
-_STAMP = re.compile(r"(?:scanned|printed|copied|downloaded|received)\b.{0,60}\d|\S{5,7} copy of .{3,60}\d|\S{6,8} at \S{6,8} \d{1,3}|(?:\S{4,7}|vol\.)\s*[\divxlc]+\s*\|[^|]*", re.I)
-_TRIM = re.compile(rf"^\s*(?:\d{{1,4}}|{_ROMAN})\s{{2,}}|\s{{2,}}(?:\d{{1,4}}|{_ROMAN})\s*$|\[{_ROMAN}\]|(?:\s*\*)+\s*$|\([^()]*\)\s*$")
+_TRIM = re.compile(rf"^\s*(?:\d{{1,4}}|{_ROMAN})\s{{2,}}|\s{{2,}}(?:\d{{1,4}}|{_ROMAN})\s*$|\s*[\[(][^()\[\]]*[\])]\s*$|(?:\s*\*)+\s*$", re.I)
 _TABLE = re.compile(r"\s*\|.*\|\s*$")
 _ALNUM = re.compile(r"[^a-z0-9]+")
+_COUNT = re.compile(r"\b\d+\b")
+_NO_LETTER = {i: None for i in range(128) if not chr(i).isalpha()}
 
 
 def _plain(text: str) -> str:
@@ -70,41 +76,105 @@ def _like(a: str, b: str) -> bool:
 
 def _is_head(line: str) -> bool:
     """Set like a heading: capitalised throughout, no sentence."""
-    if ":" in line:
+    if ":" in line or line[-1:] in ".;,?":
         return False
     own = [w for w in re.split(r"[\s|]+", _TRIM.sub("", _TRIM.sub("", line)).strip()) if w[:1].isalpha()]
+    if not 1 <= len(own) <= 9:
+        return False
     big = sum(w[0].isupper() for w in own)
-    return 1 <= len(own) <= 9 and line[-1:] not in ".;,:?" and (big == len(own) or (len(own) > 2 and big >= len(own) - 2 and sum(w[0].islower() and len(w) > 3 for w in own) == 0))
-
-
-def furniture(lines: list[str], title: str | None, path: str | None) -> list[bool]:
-    """Which lines are page heads, page feet or page numbers and no part of the text."""
-    folders = (path or "").split("/")
-    names = [x for x in (_plain(title or ""), _plain(folders[-3]) if len(folders) > 3 else "") if x]
-    out, heads = [False] * len(lines), {}
-    for i, raw in enumerate(lines):
-        line = raw.strip()
-        if not line or len(line) > 90 or line[0] in "#|`>":
+    return big == len(own) or (len(own) > 2 and big >= len(own) - 2 and not any(w[0].islower() and len(w) > 3 for w in own))
+
+
+def _wording(line: str) -> str:
+    """The letters of a line: what stays the same from page to page while the numbers change."""
+    if line[-1] in "])*" or "  " in line:
+        line = _TRIM.sub("", line)
+    return line.lower().translate(_NO_LETTER)
+
+
+def _numbers(lines: list[str]) -> str:
+    """How the numbers of recurring lines go: ``count`` if one rises a little from each to the next, ``same``, or ``free``."""
+    own = [[int(x[:9]) for x in _COUNT.findall(line)] for line in lines]
+    if any(len(x) != len(own[0]) for x in own):
+        return "free"
+    counts = False
+    for column in zip(*own, strict=True):
+        if all(a < b <= a + 4 for a, b in zip(column, column[1:], strict=False)):
+            counts = True
+        elif len(set(column)) > 1:
+            return "free"
+    return "count" if counts else "same"
+
+
+def furniture(lines: list[str], title: str | None) -> list[bool]:
+    """Which lines are page heads, page feet or page numbers and no part of the text.
+
+    A line in the form of a page number is furniture. A line that recurs, numbers apart, is
+    furniture if most of its occurrences cut a sentence in two or stand beside furniture, if its
+    number counts pages, or if it recurs three times or more about a page apart with the same numbers.
+    A line that occurs once is furniture if it gives the title, is nearly a recurring one, or is short,
+    set like a heading and cuts a sentence or stands beside furniture.
+    """
+    text = [line.strip() for line in lines]
+    n, out = len(text), [False] * len(text)
+    name = _plain(title or "")
+    widths = sorted(len(t) for t in text if len(t) > 30)
+    narrow = 0.75 * widths[len(widths) // 2] if widths else 40
+    groups: dict[str, list[int]] = {}
+    for i, t in enumerate(text):
+        if not t or len(t) > 90 or t[0] in "#|`>":
             continue
-        if len(line) <= 24 and _NUMBER.fullmatch(line):
+        if len(t) <= 24 and _NUMBER.fullmatch(t):
             out[i] = True
-        elif _STAMP.fullmatch(line) and line[-1] != ".":
-            out[i] = True
-        elif line[0] not in "-*" and _is_head(line):
-            bare = _plain(_TRIM.sub("", _TRIM.sub("", line)))
-            if any(_like(bare, n) for n in names):
+        elif t[0] not in "-*+" and t[-1] not in ".!?:;,":
+            groups.setdefault(_wording(t), []).append(i)
+
+    def around(i: int) -> tuple[str, str]:
+        a, b = i - 1, i + 1
+        while a >= 0 and (not text[a] or out[a]):
+            a -= 1
+        while b < n and (not text[b] or out[b]):
+            b += 1
+        return text[a] if a >= 0 else "", text[b] if b < n else ""
+
+    def cuts(i: int) -> bool:
+        before, after = around(i)
+        return bool(before and after) and before[-1] not in ".!?:" and before[0] not in "#|" and after[0].islower()
+
+    def beside(i: int) -> bool:
+        return (i > 0 and out[i - 1]) or (i + 1 < n and out[i + 1])
+
+    def recurs(wording: str, at: list[int]) -> bool:
+        before, after = ({x[k] for x in map(around, at)} for k in (0, 1))
+        if len(before) == 1 and len(after) == 1:  # a passage that is repeated, unless it stands beside furniture
+            return all(map(beside, at))
+        marked = sum(cuts(i) or beside(i) for i in at)
+        gaps = sorted(b - a for a, b in zip(at, at[1:], strict=False))
+        numbers = _numbers([text[i] for i in at])
+        if len(at) >= 3 and numbers != "free" and (marked or (gaps[0] >= 5 and gaps[-1] <= 3 * gaps[len(gaps) // 2])):
+            return min(len(before), len(after)) > 1 or marked > 0
+        return marked * 2 >= len(at) or (numbers == "count" and len(wording) >= 12 and marked > 0)
+
+    groups = {w: at for w, at in groups.items() if len(w) >= 3 or len(at) == 1}
+    many = {w: at for w, at in groups.items() if len(at) >= 2}
+    recurring: list[str] = []
+    for _ in range(2):
+        for wording in [w for w in many if recurs(w, many[w])]:
+            recurring.append(wording)
+            for i in many.pop(wording):
                 out[i] = True
-            else:
-                heads.setdefault(re.sub(r"\d+", "0", bare), []).append(i)
-    for same in heads.values():
-        if len(same) >= 2 and not any(lines[i].strip().isdigit() for i in same) and all(len(lines[i].split()) >= 2 for i in same):
-            for i in same:
+    single = [(i, w) for w, at in groups.items() if len(at) == 1 or w in many for i in at]
+    for _ in range(2):  # what stands beside a line found in the first round is found in the second
+        for i, wording in single:
+            t = text[i]
+            if out[i] or (len(t) > narrow and not t[0].isupper() and not t[0].isdigit()):
+                continue
+            head = _is_head(t)
+            titled = head and name and _like(_plain(_TRIM.sub("", _TRIM.sub("", t))), name)
+            if titled or any(abs(len(r) - len(wording)) <= 3 and r[:1] == wording[:1] and _like(wording, r) for r in recurring):
                 out[i] = True
-    for _ in range(2):  # heads directly beside a page number
-        for same in heads.values():
-            for i in same:
-                if not out[i] and ((i and out[i - 1]) or (i + 1 < len(lines) and out[i + 1])):
-                    out[i] = True
+            elif len(t) <= narrow:
+                out[i] = (head and beside(i)) or ((head or t[-1].isdigit()) and t[0].isupper() and cuts(i))
     return out
 
 
@@ -120,49 +190,68 @@ def _form(token: str) -> str:
     return form.lower()
 
 
-class _Page:
-    """Lines of one batch of documents as flat arrays of tokens."""
+def _chunks(batches: Iterator[pd.DataFrame], chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """Batches of at most about ``chars`` characters, so that memory doesn't depend on text lengths."""
+    for pdf in batches:
+        size = pdf["markdown"].str.len().fillna(0).cumsum() // chars
+        for _, part in pdf.groupby(size, sort=False):
+            yield part.reset_index(drop=True)
 
-    def __init__(self, pdf: pd.DataFrame) -> None:
-        self.tokens: list[str] = []
-        self.line_of, self.doc_of, self.breaks = [], [], []
-        self.furniture: list[tuple[int, int]] = []
-        for d, (md, title, path) in enumerate(zip(pdf["markdown"], pdf["title"], pdf["source_path"], strict=True)):
+
+TOKENS = "docs array<string>, forms array<string>, codes binary, line binary, doc binary, furniture binary, breaks binary, left array<string>, right array<string>, soft binary"
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per chunk of documents: tokens as codes into the chunk's forms, furniture lines, and words broken at line ends."""
+    for pdf in _chunks(batches):
+        tokens: list[str] = []
+        lines_of, sizes, docs_of, odd_lines, breaks, left, right, soft = [], [], [], [], [], [], [], []
+        for d, (md, title) in enumerate(zip(pdf["markdown"], pdf["title"], strict=True)):
             lines = (md or "").split("\n")
-            odd = furniture(lines, title, path)
-            self.furniture += [(d, i + 1) for i, f in enumerate(odd) if f]
-            carry = None  # (line, left part) of a word broken at the end of the last text line
+            odd = furniture(lines, title)
+            odd_lines += [(d, i + 1) for i, f in enumerate(odd) if f]
+            carry = None  # (line, left part, mark) of a word broken at the end of the last text line
             for i, line in enumerate(lines):
-                if odd[i] or not line or line.isspace():
+                if odd[i]:
+                    continue
+                own = (line.replace("|", " ") if "|" in line and _TABLE.match(line) else line).split()
+                if not own:
                     continue
-                own = (line.replace("|", " ") if _TABLE.match(line) else line).split()
                 if carry:
                     start = _START.match(line)
                     if start:
-                        self.breaks.append((d, carry[0] + 1, carry[1], _EDGE.sub("", start.group(1)), carry[2], i + 1, len(self.tokens) - 1, len(self.tokens)))
+                        breaks.append((d, carry[0] + 1, i + 1, len(tokens) - 1))
+                        left.append(carry[1].lower())
+                        right.append(_EDGE.sub("", start.group(1)).lower())
+                        soft.append(carry[2] not in "-‐")
                     carry = None
-                self.tokens += own
-                self.line_of.append(np.full(len(own), i + 1, np.int32))
-                self.doc_of.append(np.full(len(own), d, np.int32))
-                end = _BREAK.search(line) if own and line.rstrip()[-1:] in HYPHENS else None
+                tokens += own
+                lines_of.append(i + 1)
+                sizes.append(len(own))
+                docs_of.append(d)
+                mark = own[-1][-1]
+                end = _BREAK.search(line) if mark in HYPHENS else None
                 if end:
-                    carry = (i, end.group(1), line.rstrip()[-1])
-        self.line = np.concatenate(self.line_of) if self.line_of else np.empty(0, np.int32)
-        self.doc = np.concatenate(self.doc_of) if self.doc_of else np.empty(0, np.int32)
-        codes, unique = pd.factorize(np.array(self.tokens, dtype=object)) if self.tokens else (np.empty(0, np.int64), np.empty(0, object))
-        self.codes, self.forms = codes, np.array([_form(t) for t in unique], dtype=object)
-        broken = np.zeros(len(self.tokens), bool)
-        for b in self.breaks:
-            broken[[b[6], b[7]]] = True
-        self.broken = broken
-
-
-def _chunks(batches: Iterator[pd.DataFrame], chars: int = 8_000_000) -> Iterator[pd.DataFrame]:
-    """Batches of at most about ``chars`` characters, so that memory doesn't depend on text lengths."""
-    for pdf in batches:
-        size = pdf["markdown"].str.len().fillna(0).cumsum() // chars
-        for _, part in pdf.groupby(size, sort=False):
-            yield part.reset_index(drop=True)
+                    carry = (i, end.group(1), mark)
+        codes, unique = pd.factorize(np.array(tokens, dtype=object)) if tokens else (np.empty(0, np.int64), ())
+        rows = [pdf["doc_id"].tolist(), [_form(t) for t in unique], codes.astype(np.int32).tobytes()]
+        rows += [np.repeat(np.array(x, np.int32), sizes).tobytes() for x in (lines_of, docs_of)]
+        rows += [np.array(x, np.int32).tobytes() for x in (odd_lines, breaks)]
+        yield pd.DataFrame([[*rows, left, right, np.array(soft, bool).tobytes()]], columns=[c.split()[0] for c in TOKENS.split(", ")])
+
+
+class _Page:
+    """The tokens of one chunk of documents as flat arrays."""
+
+    def __init__(self, row) -> None:
+        array = lambda x, *shape: np.frombuffer(x, np.int32).reshape(*shape)
+        self.ids, self.forms = np.array(row.docs, dtype=object), np.array(row.forms, dtype=object)
+        self.codes, self.line, self.doc = array(row.codes, -1), array(row.line, -1), array(row.doc, -1)
+        self.furniture, self.breaks = array(row.furniture, -1, 2), array(row.breaks, -1, 4)
+        self.left, self.right, self.soft = list(row.left), list(row.right), np.frombuffer(row.soft, bool)
+        self.broken = np.zeros(len(self.codes), bool)
+        self.broken[self.breaks[:, 3]] = True
+        self.broken[self.breaks[:, 3] + 1] = True
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,37 +262,44 @@ def _lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of forms (kind f), compounds and parts alike, of joined line breaks (j) and of word pairs (b), added up first."""
     seen: Counter[str] = Counter()
     joined: Counter[str] = Counter()
-    pairs = pd.Series(dtype="int64")
-    for pdf in _chunks(batches):
-        page = _Page(pdf)
-        n = np.bincount(page.codes[~page.broken], minlength=len(page.forms))
-        for form, k in zip(page.forms, n.tolist(), strict=True):
-            if form and k:
-                seen[form] += k
-                if not form.isalnum():
-                    for part in _PARTS.split(form):
-                        if part != form and part:
-                            seen[part] += k
-        for _, _, left, right, *_ in page.breaks:
-            joined[(left + right).lower()] += 1
-        hashed = pd.util.hash_array(page.forms, categorize=False) if len(page.forms) else np.empty(0, np.uint64)
-        h, ok = hashed[page.codes], (page.forms != "")[page.codes] if len(page.forms) else np.empty(0, bool)
-        good = ok[1:] & ok[:-1] & ~page.broken[1:] & ~page.broken[:-1] & (page.doc[1:] == page.doc[:-1])
-        keys, counts = np.unique(_pair_hash(h[:-1][good], h[1:][good]).view(np.int64), return_counts=True)
-        pairs = pairs.add(pd.Series(counts, index=keys), fill_value=0)
-        if len(pairs) > 2_000_000:
-            yield pd.DataFrame({"kind": "b", "form": "", "pair": pairs.index.to_numpy("int64"), "n": pairs.to_numpy("int64")})
-            pairs = pd.Series(dtype="int64")
-    if len(pairs):
-        yield pd.DataFrame({"kind": "b", "form": "", "pair": pairs.index.to_numpy("int64"), "n": pairs.to_numpy("int64")})
+    held: list[np.ndarray] = []
+
+    def pairs() -> pd.DataFrame:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pd.DataFrame({"kind": "b", "form": "", "pair": keys, "n": counts})
+
+    for pdf in batches:
+        for page in map(_Page, pdf.itertuples(index=False)):
+            n = np.bincount(page.codes[~page.broken], minlength=len(page.forms))
+            for form, k in zip(page.forms, n.tolist(), strict=True):
+                if form and k:
+                    seen[form] += k
+                    if not form.isalnum():
+                        for part in _PARTS.split(form):
+                            if part != form and part:
+                                seen[part] += k
+            joined.update(a + b for a, b in zip(page.left, page.right, strict=True))
+            if not len(page.codes):
+                continue
+            h, ok = pd.util.hash_array(page.forms, categorize=False)[page.codes], (page.forms != "")[page.codes] & ~page.broken
+            good = ok[1:] & ok[:-1] & (page.doc[1:] == page.doc[:-1])
+            held.append(_pair_hash(h[:-1][good], h[1:][good]).view(np.int64))
+            if sum(map(len, held)) > 4_000_000:
+                yield pairs()
+            if len(seen) > 1_000_000:
+                yield pd.DataFrame({"kind": "f", "form": list(seen), "pair": 0, "n": list(seen.values())})
+                seen = Counter()
+    if held:
+        yield pairs()
     for kind, counted in (("f", seen), ("j", joined)):
         if counted:
             yield pd.DataFrame({"kind": kind, "form": list(counted), "pair": 0, "n": list(counted.values())})
 
 
-def lexicon(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def lexicon(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(form, n, joined) and (pair, n) over all texts."""
-    counts = docs.select("markdown", "title", "source_path").mapInPandas(_lexicon, "kind string, form string, pair long, n long")
+    counts = tokens.mapInPandas(_lexicon, "kind string, form string, pair long, n long")
     counts = materialise(counts.groupBy("kind", "form", "pair").agg(F.sum("n").alias("n")), "counts")
     n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     forms = counts.where("kind != 'b'").groupBy("form").agg(n("f").alias("n"), n("j").alias("joined"))
@@ -276,9 +372,9 @@ def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def corrections(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(form, word, cost, n, word_n) of proposed corrections, and the dictionary words (form, n)."""
     total = forms.agg(F.sum("n")).first()[0] or 0
-    letters = r"^\p{L}+$"
-    words = forms.where((F.col("n") >= max(LEAST, int(SHARE * total))) & F.col("form").rlike(letters) & (F.length("form") >= 2))
-    odd = forms.where((F.col("n") < max(LEAST * RATIO, total // 2000)) & (F.length("form") >= MIN_LENGTH) & (F.length("form") <= 40) & ~F.col("form").rlike("[-‐'’/]"))
+    words = forms.where((F.col("n") >= max(LEAST, int(SHARE * total))) & F.col("form").rlike(r"^\p{L}+$") & (F.length("form") >= 2))
+    longest = (words.agg(F.max(F.length("form"))).first()[0] or 0) + 4  # a longer form is no edit of any word
+    odd = forms.where((F.col("n") < max(LEAST * RATIO, total // 2000)) & (F.length("form") >= MIN_LENGTH) & (F.length("form") <= longest) & ~F.col("form").rlike("[-‐'’/]"))
     left = odd.select("form", "n").mapInPandas(_keyed, "form string, n long, key string")
     right = words.select(F.col("form"), F.col("n")).mapInPandas(_keyed, "form string, n long, key string").select(F.col("form").alias("word"), F.col("n").alias("word_n"), "key")
     pairs = left.join(right, "key").where((F.col("form") != F.col("word")) & (F.col("word_n") >= RATIO * F.greatest("n", F.lit(1))) & (F.levenshtein("form", "word", 4) >= 0))
@@ -291,21 +387,19 @@ def _events(known: frozenset[str]):
     """mapInPandas function: furniture lines, broken words and words outside ``known``, with their neighbours."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _chunks(batches):
-            page, ids = _Page(pdf), pdf["doc_id"].to_numpy()
-            rows = [(ids[d], i, "furniture", "", "", "", "", 0) for d, i in page.furniture]
-            for d, i, left, right, mark, j, a, b in page.breaks:
-                before = page.forms[page.codes[a - 1]] if a else ""
-                after = page.forms[page.codes[b + 1]] if b + 1 < len(page.codes) else ""
-                rows.append((ids[d], i, "break" if mark in "-‐" else "soft", left.lower(), right.lower(), before, after, j))
-            strange = np.array([bool(f) and f not in known for f in page.forms], bool)
-            for t in np.flatnonzero(strange[page.codes] & ~page.broken) if len(page.codes) else ():
-                form = page.forms[page.codes[t]]
-                before = page.forms[page.codes[t - 1]] if t else ""
-                after = page.forms[page.codes[t + 1]] if t + 1 < len(page.codes) else ""
-                parts = [p for p in _PARTS.split(form) if p and p not in known] if not form.isalnum() else [form]
-                rows += [(ids[page.doc[t]], page.line[t], "word", p, form, before, after, 0) for p in parts]
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "kind", "form", "rest", "before", "after", "next_line"])
+        for pdf in batches:
+            for page in map(_Page, pdf.itertuples(index=False)):
+                last = len(page.codes) - 1
+                form_at = lambda t: page.forms[page.codes[t]] if 0 <= t <= last else ""  # noqa: B023, E731
+                rows = [(page.ids[d], i, "furniture", "", "", "", "", 0) for d, i in page.furniture.tolist()]
+                for (d, i, j, a), left, right, soft in zip(page.breaks.tolist(), page.left, page.right, page.soft.tolist(), strict=True):
+                    rows.append((page.ids[d], i, "soft" if soft else "break", left, right, form_at(a - 1), form_at(a + 2), j))
+                strange = np.array([bool(f) and f not in known for f in page.forms], bool)
+                for t in np.flatnonzero(strange[page.codes] & ~page.broken).tolist() if last >= 0 else ():
+                    form = form_at(t)
+                    parts = [p for p in _PARTS.split(form) if p and p not in known] if not form.isalnum() else [form]
+                    rows += [(page.ids[page.doc[t]], page.line[t], "word", p, form, form_at(t - 1), form_at(t + 1), 0) for p in parts]
+                yield pd.DataFrame(rows, columns=["doc_id", "line_no", "kind", "form", "rest", "before", "after", "next_line"])
 
     return run
 
@@ -326,17 +420,27 @@ class Found:
         self.furniture, self.broken, self.misread = furniture, broken, misread
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """One row per doc_id; only keys are shuffled, and the texts only where more than REPEATS rows repeat others."""
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    first = numbered.groupBy("doc_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeats = materialise(numbered.select("doc_id", "row").join(first, "doc_id").where("row != first").select("row"), "repeats")
+    few = repeats.count() <= REPEATS
+    return numbered.join(F.broadcast(repeats) if few else repeats, "row", "left_anti").drop("row")
+
+
 def find(docs: DataFrame) -> Found:
-    """Searches parsed documents (doc_id, markdown, title, source_path) for what recognition broke.
+    """Searches parsed documents (doc_id, markdown, title) for what recognition broke.
 
-    Repeated rows give repeated findings, which callers make distinct; null or empty texts give none.
+    Of rows with the same doc_id the first counts; null or empty texts give no findings.
     """
-    docs = spread(docs.select("doc_id", "markdown", "title", "source_path").where(F.col("markdown").isNotNull()))
-    forms, pairs = lexicon(docs)
+    docs = spread(once(docs.select("doc_id", "markdown", "title").where(F.col("markdown").isNotNull())))
+    tokens = materialise(docs.mapInPandas(_tokens, TOKENS), "tokens")
+    forms, pairs = lexicon(tokens)
     proposed, words = corrections(forms)
     stop = words.join(proposed.select("form").distinct(), "form", "left_anti").select("form")
     known = frozenset(r[0] for r in stop.collect())  # at most 1 / SHARE words
-    events = materialise(docs.mapInPandas(_events(known), "doc_id string, line_no int, kind string, form string, rest string, before string, after string, next_line int"), "events")
+    events = materialise(tokens.mapInPandas(_events(known), "doc_id string, line_no int, kind string, form string, rest string, before string, after string, next_line int"), "events")
 
     # words broken at line ends: the whole word against the compound
     count = forms.select(F.col("form").alias("joined"), F.col("n").alias("whole_n"))

@@ -62,10 +62,38 @@ def test_keys_of_confused_forms_meet():
         assert S.delete_keys(form) & S.delete_keys(word)
 
 
-@pytest.mark.parametrize(("line", "odd"), [("- 12 -", True), ("xiv", True), ("P a g e | 3", True), ("Page 3 of 9", True), ("3/19", True), ("Scanned at counter 4", True), ("Lower Office 01   7", True), ("9   Guide to Lower Quays", True), ("GUIDE TO LOWER QUAYS", True), ("Volume 2 | Lower Office 01", True), ("# Guide to Lower Quays", False), ("12 berths", False), ("Volume 3 was closed in 1991.", False), ("Counted: 12", False), ("| 3 | 4 |", False), ("", False)])
+@pytest.mark.parametrize(("line", "odd"), [("- 12 -", True), ("xiv", True), ("P a g e | 3", True), ("Page 3 of 9", True), ("3/19", True), ("9   Guide to Lower Quays", True), ("GUIDE TO LOWER QUAYS", True), ("# Guide to Lower Quays", False), ("12 berths", False), ("Volume 3 was closed in 1991.", False), ("Counted: 12", False), ("| 3 | 4 |", False), ("", False)])
 def test_furniture(line, odd):
-    lines = ["Some running text of the page that goes on", "", line, "", "and more of the running text here"]
-    assert S.furniture(lines, "Guide to Lower Quays", "a/b/lower-office-01/2020/d.pdf")[2] is odd
+    lines = ["Some running text of the page that goes on", "", line, "", "And more of the running text here"]
+    assert S.furniture(lines, "Guide to Lower Quays")[2] is odd
+
+
+def pages(head, n=8, foot=None, cut=True):
+    """Pages of running text between recurring lines."""
+    rng = random.Random(7)
+    out = []
+    for i in range(n):
+        out += [head(i), ""] if head else []
+        out += [" ".join(rng.choice(WORDS) for _ in range(9)) for _ in range(11)] + [" ".join(rng.choice(WORDS) for _ in range(8)) + ("" if cut else ".")]
+        out += ["", foot(i)] if foot else []
+    return out
+
+
+@pytest.mark.parametrize("cut", [True, False])
+@pytest.mark.parametrize("head", [lambda i: "the tolls of the lower quays", lambda i: "Scanned at counter 4", lambda i: f"Office copy of the register, sheet {i + 20}", lambda i: "Doc ref TX-14 / issue 3 / internal use", lambda i: f"{i + 3}   Lower Office 01"])
+def test_lines_that_recur_on_every_page_are_furniture(head, cut):
+    for lines in (pages(head, cut=cut), pages(None, foot=head, cut=cut)):
+        got = S.furniture(lines, None)
+        assert [i for i, f in enumerate(got) if f] == [i for i, t in enumerate(lines) if t in {head(k) for k in range(8)}]
+
+
+def test_headings_and_labels_that_recur_are_kept():
+    both = pages(None, 2, cut=False)
+    first, second = both[:12], ["The " + both[12], *both[13:]]
+    lines = ["Notes", "", *first, "", "Notes", "", *second, "", "55 berths", "", "A third text.", "", "31 berths", "", "A fourth text.", "", "29 berths"]
+    assert not any(S.furniture(lines, None))
+    again = ["One of the harbour boards keeps every sworn barge at the outer", "quay of the market and the register of the clerk."]
+    assert not any(S.furniture([*first, "", *again, "", *second, "", *again, "", "A third text.", "", *again], None))
 
 
 def test_long_lines_and_odd_tokens(spark):
