@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern import corpus_sql
 from lectern.conf import DEFAULTS
 from lectern.functions import text as T
 from lectern.operators import answering, chunking, cleaning, evaluation, registry, traces
@@ -142,24 +143,24 @@ def page_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sections and chunks --------------------------------------------------------------------
 
 
-@query()
+@query(corpus_sql.SECTION_PATHS)
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of parsed documents with their path and number of blocks."""
     blocks = chunking.sections(cleaning.markdown_items(table(spark, sf_dir, "parsed_docs")))
     return blocks.groupBy("doc_id", "section_idx").agg(F.first(F.array_join("path", " > ")).alias("path"), F.count("*").alias("n_blocks"))
 
 
-@query()
+@query(corpus_sql.PACKED_CHILDREN)
 def packed_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks packed into children."""
     children = chunking.pack_children(table(spark, sf_dir, "blocks"))
-    return children.select("doc_id", "section_idx", "chunk_id", "seq", "token_count", "element_type", "page_start", "page_end", F.md5("text").alias("text_md5"))
+    return children.select("doc_id", "section_idx", "chunk_id", "seq", "token_count", "element_type", "page_start", "page_end", F.md5("text").alias("text_md5")).fillna(-1, ["page_start", "page_end"])
 
 
-@query()
+@query(corpus_sql.GROUPED_PARENTS)
 def grouped_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children grouped into parents."""
-    return chunking.parents(chunking.group_parents(chunking.pack_children(table(spark, sf_dir, "blocks"))))
+    return chunking.parents(chunking.group_parents(chunking.pack_children(table(spark, sf_dir, "blocks")))).fillna(-1, ["page_start", "page_end"])
 
 
 @query("""WITH c AS (SELECT DISTINCT ON (chunk_id) *, greatest(1, length(text) // 4) AS n FROM chunks)
@@ -180,7 +181,7 @@ def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("kind = 'child' and parent_id is not null").join(up, "parent_id", "left_anti").select("chunk_id", "parent_id")
 
 
-@query()
+@query(corpus_sql.INGESTED_CHUNKS)
 def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed documents through cleaning, sections and packing to the children of an index."""
     chunks = ingest.document_chunks(table(spark, sf_dir, "parsed_docs"))
@@ -337,32 +338,32 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> ask.Retrieved:
     return ask.retrieve(_questions(spark, sf_dir), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "parsed_docs"))
 
 
-@query()
+@query(corpus_sql.LEXICAL_SEARCH)
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation questions among all children, by words."""
     children = table(spark, sf_dir, "chunks").where("kind = 'child'").dropDuplicates(["chunk_id"])
     return ask.lexical(_questions(spark, sf_dir), children)
 
 
-@query()
+@query(corpus_sql.RERANKED_SEARCH)
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the evaluation questions in the order of the reranker."""
     return _retrieved(spark, sf_dir).reranked.select("query_id", "chunk_id", "rerank_score", "rerank_rank")
 
 
-@query()
+@query(corpus_sql.RETRIEVAL_OUTCOME)
 def retrieval_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a question finds anything above the floor, and its best score."""
     return _retrieved(spark, sf_dir).outcome
 
 
-@query()
+@query(corpus_sql.CONTEXT_BLOCKS)
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks in the context of every question: parents merged, budget kept."""
-    return _retrieved(spark, sf_dir).blocks.select("query_id", "block_key", "block_no", "score", "matched_chunks", "page_start", "page_end")
+    return _retrieved(spark, sf_dir).blocks.select("query_id", "block_key", "block_no", "score", "matched_chunks", "page_start", "page_end").fillna(-1, ["page_start", "page_end"])
 
 
-@query()
+@query(corpus_sql.CONTEXTS)
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context that a model reads, by digest."""
     return R.context(_retrieved(spark, sf_dir).blocks).select("query_id", "n_blocks", F.md5("context").alias("context_md5"))

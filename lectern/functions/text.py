@@ -16,6 +16,16 @@ GLYPHS = ("‖―‗", '"-_')
 QUOTES = ("‘’‚‛“”„‟", "''''\"\"\"\"")
 #: UTF-8 text that was read as Windows-1252, by the sequences it leaves most often.
 MOJIBAKE = {"â€™": "'", "â€˜": "'", "â€œ": '"', "â€\u009d": '"', "â€“": "–", "â€”": "—", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Â ": " "}
+#: A line of a table of contents: a dot leader and a number.
+CONTENTS_LINE = r"\.{4,}\s*\d+\s*$"
+#: The number of a rule that a text begins with.
+RULE_NUMBER = r"^(\d{1,3})\.\s+(?=[A-Z])"
+#: The marker of an item in a numbered list.
+MARKER = r"^\d{1,3}\.$"
+#: White space between two sentences.
+SENTENCE_END = r"(?<=[.!?;])\s+(?=[A-Z(\d])"
+#: Citation of a context block.
+CITATION = r"\[(\d+)\]"
 # -------------------------------------------------------------------------------------------
 
 
@@ -59,7 +69,7 @@ def normalize_table(text: Column) -> Column:
 
 def is_toc_line(text: Column) -> Column:
     """A dot leader and a number at the end: a line of a table of contents."""
-    return text.rlike(r"\.{4,}\s*\d+\s*$")
+    return text.rlike(CONTENTS_LINE)
 
 
 def match_key(text: Column) -> Column:
@@ -72,8 +82,8 @@ def rule_title(text: Column) -> Column:
 
     The title ends at the first full stop within 150 characters, else after 100 characters.
     """
-    number = F.regexp_extract(text, r"^(\d{1,3})\.\s+(?=[A-Z])", 1)
-    rest = F.regexp_replace(text, r"^\d{1,3}\.\s+(?=[A-Z])", "")
+    number = F.regexp_extract(text, RULE_NUMBER, 1)
+    rest = F.regexp_replace(text, RULE_NUMBER, "")
     stop = F.instr(rest, ".") - 1
     title = F.when((stop >= 1) & (stop <= 150), F.substring_index(rest, ".", 1)).otherwise(F.substring(rest, 1, 100))
     return F.when(number != "", F.concat(F.lit("Rule "), number, F.lit(": "), F.regexp_replace(title, r"(?U)^\s+|\s+$", "")))
@@ -81,7 +91,7 @@ def rule_title(text: Column) -> Column:
 
 def restore_marker(text: Column, marker: Column, enumerated: Column) -> Column:
     """A list item with its number in front again."""
-    return F.when(enumerated & marker.rlike(r"^\d{1,3}\.$"), F.concat_ws(" ", marker, text)).otherwise(text)
+    return F.when(enumerated & marker.rlike(MARKER), F.concat_ws(" ", marker, text)).otherwise(text)
 
 
 def token_count(text: Column) -> Column:
@@ -91,7 +101,7 @@ def token_count(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences, cut at white space between an end mark and a capital, digit or bracket."""
-    return F.split(text, r"(?<=[.!?;])\s+(?=[A-Z(\d])")
+    return F.split(text, SENTENCE_END)
 
 
 def breadcrumb(title: Column, path: Column) -> Column:
@@ -134,7 +144,7 @@ def cited(text: Column, blocks: Column) -> Column:
 
 def without_invalid_citations(text: Column, blocks: Column) -> Column:
     """The text without markers that cite no existing block; nothing else changes."""
-    markers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\d+\]"), F.lit(0)))
+    markers = F.array_distinct(F.regexp_extract_all(text, F.lit(CITATION), F.lit(0)))
     number = lambda m: F.try_to_number(F.regexp_extract(m, r"(\d+)", 1), F.lit("9" * 20))
     bad = F.filter(markers, lambda m: ~F.coalesce((number(m) >= 1) & (number(m) <= blocks), F.lit(False)))
     return F.aggregate(bad, text, lambda t, m: F.replace(t, m, F.lit("")))

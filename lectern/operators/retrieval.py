@@ -12,9 +12,12 @@ from pyspark.sql.window import Window
 
 from lectern.conf import DEFAULTS, Settings
 from lectern.functions import text as T
+from lectern.tables import materialise
 
-#: Queries that meet a batch of rows at once in the exact dense search.
-QUERY_BLOCK = 2_000
+#: Queries of a block of the exact dense search; so many vectors (about 10 MB) are broadcast, more are shuffled in blocks.
+QUERY_BLOCK = 20_000
+#: Rows of a part of the index where queries are shuffled, and queries whose scores are in memory at once.
+INDEX_PART, STRIP = 100_000, 256
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -23,49 +26,103 @@ def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id"
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _unit(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, unit vectors) of those that have ``dim`` finite values and a length."""
+    at = np.flatnonzero(vectors.str.len().to_numpy() == dim)
+    x = np.stack(vectors.to_numpy()[at]).astype(float) if len(at) else np.empty((0, dim))
+    norm = np.linalg.norm(x, axis=1)
+    ok = np.isfinite(norm) & (norm > 0)
+    return at[ok], x[ok] / norm[ok][:, None]
+
+
+class _Best:
+    """The k best rows of every query of a block, kept while parts of the index come by."""
+
+    def __init__(self, names: np.ndarray, queries: np.ndarray, k: int, decimals: int) -> None:
+        self.names, self.q, self.k, self.decimals = names, queries, k, decimals
+        self.floor = np.full(len(names), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        for lo in range(0, len(self.q), STRIP):
+            score = np.round(self.q[lo : lo + STRIP] @ x.T, self.decimals)
+            floor = self.floor[lo : lo + STRIP]
+            if score.shape[1] > self.k:
+                floor = np.maximum(floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+            row, col = np.nonzero(score >= floor[:, None])
+            self.held.append(self._first(row + lo, score[row, col], ids[col]))
+        if sum(len(h[0]) for h in self.held) > 4 * self.k * len(self.q) + 1_000_000:
+            self.merge()
+
+    def _first(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -score, row))
+        row, score, ids = row[order], score[order], ids[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[keep], score[keep], ids[keep]
+
+    def merge(self) -> None:
+        row, score, ids = self._first(*(np.concatenate(c) for c in zip(*self.held, strict=True)))
+        full = np.flatnonzero(np.bincount(row, minlength=len(self.q)) >= self.k)
+        self.floor[full] = score[np.searchsorted(row, full) + self.k - 1]
+        self.held = [(row, score, ids)]
+
+    def result(self) -> pd.DataFrame:
+        if self.held:
+            self.merge()
+        row, score, ids = self.held[0] if self.held else (np.empty(0, int), np.empty(0), np.empty(0, object))
+        return pd.DataFrame({"query_id": self.names[row].astype(object), "chunk_id": ids.astype(object), "score": score})
+
+
+def _names(ids: pd.Series) -> np.ndarray:
+    return np.array(ids.tolist())
+
+
 def dense_topk(queries: DataFrame, index: DataFrame, k: int, decimals: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine top-k of stated queries against all rows.
+    """(query_id, chunk_id, score, rank): exact cosine top-k of stated queries against all rows.
 
-    Both have id and vector; vectors of another length than the queries', with nulls or of length
-    zero are skipped. Queries are grouped into blocks; a batch of rows meets a block as one matrix
-    product and hands on its own k best, so no pair beyond those leaves a task.
+    Both have id and vector. The length of vectors is that of most queries; vectors of another one,
+    with nulls, NaN or without a direction are skipped. A block of queries is broadcast as one
+    matrix; each task keeps the k best of every query while its rows come by and hands on only those.
+    Larger query sets are shuffled: every block of them meets every part of the index in a task.
     """
-    clean = lambda d: d.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
-    numbered = clean(queries).select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("q"), F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("slot"))
-    count = numbered.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    grouped = numbered.groupBy(F.pmod("slot", F.lit(blocks)).alias("block")).agg(F.collect_list("query_id").alias("ids"), F.collect_list("q").alias("qs"))
-    id_type = dict(index.dtypes)["id"]
-    query_type = dict(queries.dtypes)["id"]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, rows in pdf.groupby("block", sort=False):
-                ids, qs = rows["ids"].iloc[0], rows["qs"].iloc[0]
-                dim = len(qs[0])
-                rows = rows[rows["vector"].str.len() == dim]
-                q = np.stack([x for x in qs if len(x) == dim])
-                names = np.array([i for i, x in zip(ids, qs, strict=True) if len(x) == dim], dtype=object)
-                if not len(rows):
-                    continue
-                x = np.stack(rows["vector"].to_numpy()).astype(float)
-                xn, qn = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-                own = rows["id"].to_numpy()
-                ok = xn > 0
-                x, own = x[ok] / xn[ok][:, None], own[ok]
-                qok = qn > 0
-                score = np.round((q[qok] / qn[qok][:, None]) @ x.T, decimals)
-                order = np.argsort(own, kind="stable")
-                score, own = score[:, order], own[order]
-                take = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(names[qok], take.shape[1]), "chunk_id": own[take].ravel(), "score": np.take_along_axis(score, take, 1).ravel()})
-
-    # the stated query set against all rows, in blocks: a row of blocks per 2,000 queries
-    rows = clean(index).select("id", F.col("vector").cast("array<double>").alias("vector"))
-    small = count <= 20 * QUERY_BLOCK
-    met = rows.crossJoin(F.broadcast(grouped)) if small else rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(grouped, "block")
-    part = met.select("block", "ids", "qs", "id", "vector").mapInPandas(best, f"query_id {query_type}, chunk_id {id_type}, score double")
-    return top_k(part, k)
+    clean = lambda d: d.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+    asked = clean(queries).select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    sizes = asked.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").collect()  # a row per length of vectors
+    dim, count = (sizes[0]["dim"], sizes[0]["n"]) if sizes else (0, 0)
+    asked = asked.where(F.size("vector") == dim)
+    rows = clean(index).where(F.size("vector") == dim).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    fields = f"query_id {dict(queries.dtypes)['id']}, chunk_id {dict(index.dtypes)['id']}, score double"
+    if count <= QUERY_BLOCK:
+        held = asked.toPandas()  # at most QUERY_BLOCK rows
+        at, unit = _unit(held["vector"], dim) if count else (np.empty(0, int), np.empty((0, dim)))
+        block = index.sparkSession.sparkContext.broadcast((_names(held["query_id"].iloc[at]), unit))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(*block.value, k, decimals)
+            for pdf in batches:
+                own, x = _unit(pdf["vector"], dim)
+                if len(own) and len(best.q):
+                    best.add(_names(pdf["id"].iloc[own]), x)
+            yield best.result()
+
+        return top_k(rows.mapInPandas(scan, fields), k)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        qa, q = _unit(left["vector"], dim)
+        xa, x = _unit(right["vector"], dim)
+        best = _Best(_names(left["query_id"].iloc[qa]), q, k, decimals)
+        if len(qa) and len(xa):
+            best.add(_names(right["id"].iloc[xa]), x)
+        return best.result()
+
+    blocks, parts = -(-count // QUERY_BLOCK), max(1, -(-rows.count() // INDEX_PART))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+    right = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(meet, fields)
+    return top_k(met, k)
 
 
 def postings(vectors: DataFrame) -> DataFrame:
@@ -92,27 +149,62 @@ def fuse(ranked: list[DataFrame], k: int, constant: int = DEFAULTS.rrf_constant)
     return top_k(fused, k)
 
 
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(id, token, tf) of texts (id, text)."""
+    words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token"))
+    return words.groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
+def _unit_weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, token, weight): tf-idf of unit length; words that all texts have weigh nothing and are left out."""
+    weighted = tf.join(idf.where("idf > 0"), "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+
+
 def word_postings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tf-idf postings (id, token, weight) of texts (id, text), of unit length, and the idf (token, idf).
+    """Tf-idf postings (id, token, weight) of texts (id, text), of unit length, and the idf (token, idf, common).
 
-    The idf is ln(texts / texts with the word); words in more than half of the texts carry nothing
-    for the search and have no postings, which keeps the join with queries from meeting all texts.
+    The idf is ln(texts / texts with the word); ``common`` marks words that more than half of the texts have.
     """
-    words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token"))
-    tf = words.groupBy("id", "token").agg(F.count("*").alias("tf"))
-    total = texts.agg(F.countDistinct("id").alias("total"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("token", F.log(F.col("total") / F.col("df")).alias("idf"), F.greatest(F.lit(2), F.col("total")).alias("total"), "df").where(F.col("df") * 2 <= F.col("total")).select("token", "idf")  # total is one row
-    weighted = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight")), idf
+    tf = materialise(_word_counts(texts), "words")
+    total = texts.agg(F.countDistinct("id")).first()[0]
+    idf = tf.groupBy("token").agg(F.count("*").alias("df")).select("token", F.log(F.lit(float(total)) / F.col("df")).alias("idf"), (F.col("df") * 2 > total).alias("common"))
+    idf = materialise(idf, "idf")
+    return materialise(_unit_weights(tf, idf.select("token", "idf")), "postings"), idf
 
 
 def query_postings(queries: DataFrame, idf: DataFrame) -> DataFrame:
     """Postings of query texts by the index's idf; words the index lacks have none."""
-    words = queries.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token"))
-    weighted = words.groupBy("id", "token").agg(F.count("*").alias("tf")).join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+    return _unit_weights(_word_counts(queries), idf.select("token", "idf"))
+
+
+def word_topk(query_postings: DataFrame, index_postings: DataFrame, idf: DataFrame, k: int, decimals: int = 6) -> DataFrame:
+    """(query_id, chunk_id, score, rank): dot products of words, exact, without meeting every text that has a common word.
+
+    The other words are scored first. The common words of a query add at most the sum of its weights
+    times their greatest weights; texts that can't reach the k-th best with that are settled. Only the
+    remaining ones look their common words up, and only queries that a text could answer by common
+    words alone read all postings of these.
+    """
+    q = materialise(query_postings.join(idf.select("token", "common"), "token").select(F.col("id").alias("query_id"), "token", F.col("weight").alias("qw"), "common"), "asked")
+    w = index_postings.select(F.col("id").alias("chunk_id"), "token", "weight")
+    common = idf.where("common").select("token")
+    most = w.join(F.broadcast(common), "token").groupBy("token").agg(F.max("weight").alias("most"))  # words of more than half of the texts: no more than twice the words of a text
+    rare = q.where("not common").join(w, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("part"))
+    rare = materialise(rare, "partial")
+    bound = q.where("common").join(F.broadcast(most), "token").groupBy("query_id").agg(F.sum(F.col("qw") * F.col("most")).alias("more"))
+    kth = top_k(rare, k, "part").where(F.col("rank") == k).select("query_id", F.col("part").alias("kth"))
+    state = q.select("query_id").distinct().join(bound, "query_id", "left").join(kth, "query_id", "left")
+    # a margin of a rounding step keeps texts that tie after rounding
+    state = materialise(state.select("query_id", F.coalesce("more", F.lit(0.0)).alias("more"), (F.coalesce("kth", F.lit(0.0)) - 2 * 10.0**-decimals).alias("floor")), "floors")
+    open_ = state.where("more >= floor").select("query_id")
+    near = rare.join(state, "query_id").where("part + more >= floor").select("query_id", "chunk_id", "part")
+    asked = q.where("common").select("query_id", "token", "qw")
+    looked = near.join(asked, "query_id").join(w, ["chunk_id", "token"]).select("query_id", "chunk_id", (F.col("qw") * F.col("weight")).alias("part"))
+    alone = asked.join(open_, "query_id").join(w, "token").join(near.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", (F.col("qw") * F.col("weight")).alias("part"))
+    scored = near.unionByName(looked).unionByName(alone).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), decimals).alias("score"))
+    return top_k(scored.where("score > 0"), k)
 
 
 def overlap_score(question: Column, text: Column) -> Column:
@@ -165,7 +257,10 @@ def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def within_budget(blocks: DataFrame, budget: int = DEFAULTS.context_token_budget) -> DataFrame:
-    """The blocks of each query that fit the context: a block that would overflow is skipped, the first is always kept."""
+    """The blocks of each query that fit the context: a block that would overflow is skipped, the first is always kept.
+
+    A query has rerank_top_n blocks at most, so its blocks are folded as one small array.
+    """
     listed = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block_key", T.token_count(F.col("text")).alias("tokens")))).alias("b"))
     start = F.struct(F.array().cast("array<string>").alias("keys"), F.lit(0).cast("long").alias("used"))
 

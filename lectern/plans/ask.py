@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.conf import DEFAULTS, Settings
 from lectern.operators import retrieval as R
+from lectern.operators.encoding import Encoder, encode, hashed_encoder
 from lectern.tables import materialise
 
 
@@ -32,20 +33,30 @@ def lexical(questions: DataFrame, chunks: DataFrame, conf: Settings = DEFAULTS)
     """Top-k of questions (query_id, question) over chunks (chunk_id, text) by tf-idf of words."""
     weights, idf = R.word_postings(chunks.select(F.col("chunk_id").alias("id"), "text"))
     asked = R.query_postings(questions.select(F.col("query_id").alias("id"), F.col("question").alias("text")), idf)
-    return R.sparse_topk(asked, weights, conf.fused_top_k, 6)
+    return R.word_topk(asked, weights, idf, conf.fused_top_k)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, conf: Settings = DEFAULTS) -> Retrieved:
+def encoded_search(questions: DataFrame, index: DataFrame, encoder: Encoder = hashed_encoder, conf: Settings = DEFAULTS) -> DataFrame:
+    """Hybrid search of question texts (query_id, question) in an index that the same encoder made."""
+    asked = encode(questions.select(F.col("query_id").alias("id"), F.col("question").alias("text")), encoder)
+    return hybrid(asked, index, conf)
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, conf: Settings = DEFAULTS, found: DataFrame | None = None, score: Column | None = None) -> Retrieved:
     """Answers-to-be of questions: search, rerank, floor, parents, budget.
 
-    Questions without candidates and those below the floor keep their row in the outcome.
+    ``found`` (query_id, chunk_id, rank) comes from a search, such as encoded_search; without it the
+    questions are searched by words. ``score`` is the reranker's column over question and text.
+    Questions without candidates and those below the floor keep their row in the outcome. Texts are
+    read for candidates only, and again for the few that are kept.
     """
     children = chunks.where("kind = 'child'").dropDuplicates(["chunk_id"])
-    found = lexical(questions, children, conf).select("query_id", "chunk_id", "rank", F.col("score").alias("fused_score"))
+    found = found if found is not None else lexical(questions, children, conf)
+    found = materialise(found.select("query_id", "chunk_id", "rank"), "found")
+    candidates = found.join(children.select("chunk_id", "text"), "chunk_id").join(questions.select("query_id", "question"), "query_id")
+    reranked = materialise(R.rerank(candidates, conf, score).drop("text", "question"), "reranked")
     own = children.select("chunk_id", "parent_id", "doc_id", "text", "section_path", "page_start", "page_end")
-    candidates = found.join(own, "chunk_id").join(questions.select("query_id", "question"), "query_id")
-    reranked = materialise(R.rerank(candidates, conf), "reranked")
-    hits = R.kept(reranked, conf).withColumn("score", F.col("rerank_score"))
-    blocks = R.expand_to_parents(hits, chunks.where("kind = 'parent'"))
+    hits = R.kept(reranked, conf).withColumn("score", F.col("rerank_score")).join(own, "chunk_id")
+    blocks = materialise(R.expand_to_parents(hits, chunks.where("kind = 'parent'")), "blocks")
     titles = docs.groupBy("doc_id").agg(F.max("title").alias("title"), F.min("source_path").alias("source_path"))
     return Retrieved(reranked, R.outcome(questions, reranked, conf), R.within_budget(blocks, conf.context_token_budget).join(titles, "doc_id", "left"))

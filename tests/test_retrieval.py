@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from lectern.conf import Settings
 from lectern.operators import answering, evaluation, registry
 from lectern.operators import retrieval as R
+from lectern.operators.encoding import encode
+from lectern.plans import ask
 
 HIT = "query_id int, chunk_id string, parent_id string, doc_id string, text string, section_path array<string>, page_start int, page_end int, score double, kept_rank int"
 PARENT = "chunk_id string, text string, section_path array<string>, page_start int, page_end int"
@@ -22,6 +24,66 @@ def test_dense_search_is_exact(spark):
     assert R.dense_topk(index.where("id < 0"), index, 4).count() == 0
 
 
+def test_dense_search_puts_no_query_on_rows(spark):
+    rng = np.random.default_rng(2)
+    index = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(12_000, 4)))], "id int, vector array<double>")
+    out = R.dense_topk(index.where("id < 10000"), index, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "NestedLoop" not in plan
+    assert out.count() == 30_000
+
+
+def test_shuffled_blocks_of_queries_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 3)), 1)  # many ties
+    index = spark.createDataFrame([(f"v{i:03}", [float(a) for a in r]) for i, r in enumerate(x)] + [("z", None), ("y", [1.0])], "id string, vector array<double>")
+    queries = index.where("substr(id, 4, 1) = '0'")
+    one = {tuple(r) for r in R.dense_topk(queries, index, 5).collect()}
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "INDEX_PART", 64)
+    monkeypatch.setattr(R, "STRIP", 3)
+    assert {tuple(r) for r in R.dense_topk(queries, index, 5).collect()} == one
+    assert len(one) == 5 * sum(bool((r != 0).any()) for r in x[::10])
+
+
+def test_word_search_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(30)]
+    share = np.r_[[0.9, 0.7, 0.6], np.full(27, 0.08)]  # three words that most texts have
+    texts = [(i, " ".join(w for w, p in zip(vocabulary, share, strict=True) if rng.random() < p)) for i in range(120)]
+    asked = [(i, " ".join(rng.choice(vocabulary, 3))) for i in range(20)] + [(20, "w0 w1"), (21, "w0"), (22, "nothing"), (23, None)]
+    weights, idf = R.word_postings(spark.createDataFrame(texts, "id int, text string"))
+    q = R.query_postings(spark.createDataFrame(asked, "id int, text string"), idf)
+    got = {(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in R.word_topk(q, weights, idf, 4).collect()}
+    assert got == {(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in R.sparse_topk(q, weights, 4, 6).collect()}
+    assert {r[0] for r in got} >= {20, 21}
+
+
+def test_texts_are_encoded_and_found(spark):
+    texts = [("a", "the tide table of the port"), ("b", "whale oil and candles"), ("c", None), ("d", "")]
+    index = encode(spark.createDataFrame(texts, "id string, text string"))
+    rows = {r["id"]: r for r in index.collect()}
+    assert len(rows["a"]["vector"]) == 64
+    assert abs(sum(x * x for x in rows["a"]["vector"]) - 1) < 1e-5
+    assert rows["c"]["indices"] == rows["d"]["indices"] == []
+    asked = spark.createDataFrame([(1, "tide table"), (2, "candles")], "query_id int, question string")
+    best = {r["query_id"]: r["chunk_id"] for r in ask.encoded_search(asked, index).where("rank = 1").collect()}
+    assert best == {1: "a", 2: "b"}
+    other = encode(spark.createDataFrame(texts, "id string, text string"), lambda ts: (np.ones((len(ts), 2)), [{len(t): 1.0} for t in ts]))
+    assert {(r["id"], tuple(r["vector"]), tuple(r["indices"])) for r in other.collect()} == {(i, (1.0, 1.0), (len(t or ""),)) for i, t in texts}
+
+
+def test_retrieval_takes_a_search_and_a_scorer(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "d", "p", "child", f"text {i}", ["s"], i, i) for i in range(3)] + [("p", "d", None, "parent", "whole", ["s"], 0, 2)], "chunk_id string, doc_id string, parent_id string, kind string, text string, section_path array<string>, page_start int, page_end int")
+    docs = spark.createDataFrame([("d", "Title", "a.md")], "doc_id string, title string, source_path string")
+    asked = spark.createDataFrame([(1, "q"), (2, "q")], "query_id int, question string")
+    found = spark.createDataFrame([(1, "c0", 1), (1, "c2", 2)], "query_id int, chunk_id string, rank int")
+    done = ask.retrieve(asked, chunks, docs, found=found, score=F.when(F.col("text") == "text 2", 0.9).otherwise(0.01))
+    assert [(r["block_key"], r["score"], r["matched_chunks"], r["title"]) for r in done.blocks.collect()] == [("p", 0.9, 1, "Title")]
+    assert {tuple(r) for r in done.outcome.collect()} == {(1, False, 0.9), (2, True, 0.0)}
+
+
 def test_sparse_search_and_fusion(spark):
     p = lambda rows: spark.createDataFrame(rows, "id string, indices array<int>, values array<float>")
     index = R.postings(p([("a", [1, 2], [1.0, 2.0]), ("b", [2, 2], [1.0, 1.0]), ("c", [9], [1.0]), ("d", None, None), ("e", [1], [1.0, 2.0])]))
