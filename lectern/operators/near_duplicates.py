@@ -3,8 +3,9 @@
 Method: vantage-point partitions of fingerprints. The fingerprint of a record holds bits of its MinHash
 values, so the Hamming distance of two fingerprints falls with the Jaccard similarity of their sets
 of word runs. A vantage point divides the records around it into rings by distance; by the triangle
-bound two similar records lie in the same ring or in neighbouring ones, so only these are compared,
-and large rings are divided again by a vantage point of their own.
+bound two similar records lie in the same ring or in neighbouring ones, so only these are compared.
+A large shard is divided into such rings, and large rings into parts of which each two meet in a task
+of their own; within a task further vantage points bound the comparisons.
 
 One tree over all records cannot prune: unrelated fingerprints are all about half their bits apart
 from every vantage point (256 of 512, give or take 11), closer together than the search radius. The
@@ -29,8 +30,12 @@ BANDS, ROWS = 32, 4
 #: Fingerprint bits taken from each value, and 64-bit words of a fingerprint.
 BITS = 4
 WORDS = BANDS * ROWS * BITS // 64
-#: Members of a ring above which it is divided again, and how often that is done.
-LEAF, LEVELS = 64, 2
+#: Members of a shard or ring above which it is divided, so that a task compares twice as many at most.
+PART = 4_096
+#: Vantage points whose distances bound the comparisons of a task, cells below this size apart.
+VANTAGES, SMALL = 2, 32
+#: Hot shards and rings up to this number (about 10 MB) are broadcast to their rows.
+BROADCAST_SHARDS = 100_000
 #: Candidate records up to this number (about 30 MB) are broadcast when their texts are read again.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,10 +43,10 @@ _MULT = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def radius(threshold: float) -> int:
-    """Hamming distance that a pair at the threshold exceeds once in a thousand times (three deviations)."""
+    """Hamming distance that a pair at the threshold exceeds once in thirty thousand times (four deviations)."""
     n = BANDS * ROWS
     differ = n * (1 - threshold)
-    return round(differ * BITS / 2 + 3 * np.sqrt(n * threshold * (1 - threshold) * (BITS / 2) ** 2 + differ * BITS / 4))
+    return round(differ * BITS / 2 + 4 * np.sqrt(n * threshold * (1 - threshold) * (BITS / 2) ** 2 + differ * BITS / 4))
 
 
 def _sets(texts: pd.Series, run: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,36 +107,130 @@ def _distance(a: Column, b: Column) -> Column:
     return total
 
 
-def _ring_pairs(shard: DataFrame, limit: int, level: int) -> DataFrame:
-    """Pairs (kind, a, b) of the rows of a shard (kind, shard, id, print) within the radius.
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (…, WORDS)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
-    The least id is the vantage point. It is compared with all; the others with those of their own
-    ring and, where the boundary is near, of the next one.
+
+def _within(prints: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of close fingerprints, a of ``left`` and b of ``right``, or both of the same where these are one.
+
+    Rows are sorted by their distance from a vantage point; a row meets only those that the triangle
+    bound leaves, and of these only the ones that the other vantage points leave.
+    """
+    same = left is right
+    points = prints[left[np.linspace(0, len(left) - 1, VANTAGES).astype(int)]]
+    away = lambda at: np.stack([_far(prints[at], p) for p in points], axis=1)
+    dl, dr = away(left), away(right)
+    ol, or_ = np.argsort(dl[:, 0], kind="stable"), np.argsort(dr[:, 0], kind="stable")
+    left, dl, right, dr = left[ol], dl[ol], right[or_], dr[or_]
+    for lo in range(0, len(left), 64):
+        own, d = left[lo : lo + 64], dl[lo : lo + 64]
+        first, last = np.searchsorted(dr[:, 0], d[0, 0] - limit, "left"), np.searchsorted(dr[:, 0], d[-1, 0] + limit, "right")
+        first = max(first, lo) if same else first
+        near = (np.abs(d[:, None, :] - dr[None, first:last, :]) <= limit).all(axis=2)
+        i, j = np.nonzero(near)
+        if same:
+            keep = j + first > i + lo
+            i, j = i[keep], j[keep]
+        for k in range(0, len(i), 1 << 20):
+            a, b = own[i[k : k + (1 << 20)]], right[first + j[k : k + (1 << 20)]]
+            close = _far(prints[a], prints[b]) <= limit
+            yield a[close], b[close]
+
+
+def _close(limit: int):
+    """mapInPandas function over rows sorted by cell: pairs (kind, a, b) within the limit.
+
+    All rows of a cell meet; where it has two sides, only rows of different sides do.
+    """
+    columns = [f"p{i}" for i in range(WORDS)]
+
+    def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        prints = pdf[columns].to_numpy(np.int64).view(np.uint64)
+        cell, side, ids, kind = pdf["cell"].to_numpy(), pdf["side"].to_numpy(), pdf["id"].to_numpy(), pdf["kind"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+        size = np.diff(edges)
+        two = side[edges[:-1]] >= 2  # sides 2 and 3 belong to cells of two parts
+        small = np.repeat((size <= SMALL) & ~two, size)
+        found = []
+        for step in range(1, min(SMALL, int(size.max()))):  # small cells all at once: each row meets the one ``step`` after it
+            i = np.flatnonzero(small[:-step] & (cell[step:] == cell[:-step]))
+            i = i[_far(prints[i], prints[i + step]) <= limit] if len(i) else i
+            found.append((i, i + step))
+        for c in np.flatnonzero((size > SMALL) | two):
+            at = np.arange(edges[c], edges[c + 1])
+            left = at[side[at] % 2 == 0]
+            right = at[side[at] == 3] if two[c] else left
+            if len(left) and len(right):
+                found += _within(prints, left, right, limit)
+            if sum(len(a) for a, _ in found) > 1_000_000:
+                yield frame(found, ids, kind)
+                found = []
+        if found:
+            yield frame(found, ids, kind)
+
+    def frame(found: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, kind: np.ndarray) -> pd.DataFrame:
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = ids[i], ids[j]
+        turned = a > b
+        return pd.DataFrame({"kind": kind[i], "a": np.where(turned, b, a), "b": np.where(turned, a, b)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cell = pdf["cell"].to_numpy()
+            if rest and rest[0]["cell"].iloc[0] == cell[-1]:
+                rest.append(pdf)
+                continue
+            start = int(np.flatnonzero(cell == cell[-1])[0])
+            whole = pd.concat([*rest, pdf.iloc[:start]], ignore_index=True)
+            if len(whole):
+                yield from pairs(whole)
+            rest = [pdf.iloc[start:]]
+        if rest:
+            yield from pairs(pd.concat(rest, ignore_index=True))
+
+    return run
+
+
+def _cells(shards: DataFrame, limit: int) -> DataFrame:
+    """(kind, cell, side, id, print): the rows of each shard (kind, shard, n, id, print) by the cells they are compared in.
+
+    A shard of up to PART rows is one cell. A larger one is divided into rings around its least id;
+    rows meet within their ring and with the next one, in parts of PART rows of either.
     """
-    vantage = shard.groupBy("kind", "shard").agg(F.min(F.struct("id", "print")).alias("v"), F.count("*").alias("size")).where("size > 1")
-    around = shard.join(vantage, ["kind", "shard"]).where(F.col("id") != F.col("v.id")).withColumn("d", _distance(F.col("print"), F.col("v.print")))
-    with_vantage = around.where(F.col("d") <= limit).select("kind", F.col("v.id").alias("a"), F.col("id").alias("b"))
-    ring = (F.col("d") / (limit + 1)).cast("int")
-    rest = around.where("size > 2").select("kind", F.xxhash64("shard", ring).alias("shard"), F.xxhash64("shard", ring + 1).alias("next"), "id", "print", "d", "size")
-    if level < LEVELS:
-        deep = rest.where(F.col("size") > LEAF)
-        home = deep.select("kind", "shard", "id", "print")
-        # by the triangle bound a row of the next ring can only match rows beyond d - radius; both rings form a shard there
-        over = deep.select("kind", F.xxhash64("next", F.lit("seam")).alias("shard"), "id", "print").unionByName(deep.select("kind", F.xxhash64("shard", F.lit("seam")).alias("shard"), "id", "print"))
-        below = _ring_pairs(home.unionByName(over), limit, level + 1)
-        rest = rest.where(F.col("size") <= LEAF)
-    else:
-        below = None
-    # rows of a ring meet in blocks, so that no task gets a whole hot ring
-    blocks = F.greatest(F.lit(1), (F.col("size") / LEAF).cast("int"))
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    left = rest.select("kind", "shard", F.col("next").alias("up"), F.col("id").alias("a"), F.col("print").alias("pa"), F.col("d").alias("da"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
-    right = rest.select("kind", F.col("shard"), F.col("id").alias("b"), F.col("print").alias("pb"), F.col("d").alias("db"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
-    close = (F.abs(F.col("da") - F.col("db")) <= limit) & (_distance(F.col("pa"), F.col("pb")) <= limit)
-    same = left.drop("up").join(right, ["kind", "shard", "block", "other"]).where((F.col("a") < F.col("b")) & close)
-    seam = left.drop("shard").withColumnRenamed("up", "shard").join(right, ["kind", "shard", "block", "other"]).where(close)
-    pairs = with_vantage.unionByName(same.select("kind", "a", "b")).unionByName(seam.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return pairs.unionByName(below) if below is not None else pairs
+    small = shards.where(F.col("n") <= PART).select("kind", F.xxhash64("kind", "shard").alias("cell"), F.lit(0).alias("side"), "id", "print")
+    hot = materialise(shards.where(F.col("n") > PART), "hot")
+    if hot.isEmpty():
+        return small
+    key = ["kind", "shard"]
+    hint = lambda d: F.broadcast(d) if d.count() <= BROADCAST_SHARDS else d
+    vantage = hint(materialise(hot.groupBy(key).agg(F.min(F.struct("id", "print")).alias("v")), "vantages"))
+    around = hot.join(vantage, key).withColumn("ring", (_distance(F.col("print"), F.col("v.print")) / (limit + 1)).cast("int")).select(*key, "ring", "id", "print")
+    around = materialise(around, "around")
+    parts = materialise(around.groupBy(*key, "ring").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "rings")
+    beside = lambda by, name: parts.select(*key, (F.col("ring") + by).alias("ring"), F.col("parts").alias(name))
+    rings = hint(parts.join(beside(-1, "after"), [*key, "ring"], "left").join(beside(1, "before"), [*key, "ring"], "left").fillna(0, ["after", "before"]))
+    rows = around.join(rings, [*key, "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # a cell is named after its two parts, the one of the lower ring or number first
+    own = F.transform(upto(F.col("parts")), lambda o: F.struct(F.col("ring").alias("r"), F.least("part", o).alias("p"), F.col("ring").alias("s"), F.greatest("part", o).alias("q"), (F.col("part") > o).cast("int").alias("side")))
+    up = F.transform(upto(F.col("after")), lambda o: F.struct(F.col("ring").alias("r"), F.col("part").alias("p"), (F.col("ring") + 1).alias("s"), o.alias("q"), F.lit(0).alias("side")))
+    down = F.transform(upto(F.col("before")), lambda o: F.struct((F.col("ring") - 1).alias("r"), o.alias("p"), F.col("ring").alias("s"), F.col("part").alias("q"), F.lit(1).alias("side")))
+    met = rows.withColumn("c", F.explode(F.concat(own, up, down)))
+    # cells of two parts hold rows of both sides only; one without a partner gives nothing
+    large = met.select("kind", F.xxhash64("kind", "shard", "c.r", "c.p", "c.s", "c.q").alias("cell"), (F.col("c.side") + F.when((F.col("c.r") == F.col("c.s")) & (F.col("c.p") == F.col("c.q")), 0).otherwise(2)).alias("side"), "id", "print")
+    return small.unionByName(large)
+
+
+def _close_pairs(shards: DataFrame, limit: int) -> DataFrame:
+    """(kind, a, b) of all records that share a shard and are within the limit, each pair once."""
+    flat = _cells(shards, limit).select("kind", "cell", "side", "id", *(F.get("print", F.lit(i)).alias(f"p{i}") for i in range(WORDS)))
+    ordered = flat.repartition("cell").sortWithinPartitions("cell", "id")
+    return ordered.mapInPandas(_close(limit), "kind string, a string, b string").distinct()
 
 
 class NearDuplicates:
@@ -154,7 +253,8 @@ class NearDuplicates:
 
     def groups(self) -> DataFrame:
         """One row per record: (kind, id, class, copies, links), links counted between classes."""
-        ends = self.links.select("kind", F.col("class_a").alias("class")).unionByName(self.links.select("kind", F.col("class_b").alias("class")))
+        links = materialise(self.links, "links")
+        ends = links.select("kind", F.col("class_a").alias("class")).unionByName(links.select("kind", F.col("class_b").alias("class")))
         degree = ends.groupBy("kind", "class").agg(F.count("*").alias("links"))
         copies = self.members.groupBy("kind", "class").agg(F.count("*").alias("copies"))
         return self.members.join(copies, ["kind", "class"]).join(degree, ["kind", "class"], "left").select("kind", "id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
@@ -175,10 +275,10 @@ def near_duplicates(records: DataFrame, run: int = 5, threshold: float = 0.8) ->
     leaders = signed.join(members.where("id = class").select("kind", "id"), ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"])
     leaders = materialise(leaders.select("kind", "id", "bands", "print"), "leaders")
     keyed = leaders.select("kind", "id", F.posexplode("bands").alias("band", "key")).select("kind", F.xxhash64("band", "key").alias("shard"), "id")
-    shared = keyed.groupBy("kind", "shard").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = materialise(keyed.join(shared, ["kind", "shard"]), "shards")
-    shards = crowded.join(leaders.select("kind", "id", "print"), ["kind", "id"])
-    pairs = materialise(_ring_pairs(shards, limit, 1).distinct(), "pairs")
+    shared = keyed.groupBy("kind", "shard").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = keyed.join(shared, ["kind", "shard"])
+    shards = materialise(crowded.join(leaders.select("kind", "id", "print"), ["kind", "id"]), "prints")
+    pairs = materialise(_close_pairs(shards, limit), "pairs")
     # exact similarity: the sets of candidates are made again from their texts
     ends = pairs.select("kind", F.col("a").alias("id")).unionByName(pairs.select("kind", F.col("b").alias("id"))).distinct()
     few = ends.count() <= BROADCAST_ROWS

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from lectern.functions.words import words_of
+from lectern.operators import near_duplicates as module
 from lectern.operators.near_duplicates import near_duplicates, radius
 
 SCHEMA = "kind string, id string, text string"
@@ -51,6 +52,26 @@ def test_equals_brute_force_with_edits_and_a_hot_group(spark, run, threshold):
     assert found(spark, rows, run, threshold) == brute(rows, run, threshold)
 
 
+@pytest.mark.parametrize(("part", "small"), [(8, 3), (24, 4)])
+def test_a_hot_shard_is_divided_without_loss(spark, monkeypatch, part, small):
+    monkeypatch.setattr(module, "PART", part)
+    monkeypatch.setattr(module, "SMALL", small)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    rows = []
+    for v in range(140):  # copies of one text with one to nine edits: a bucket of several rings
+        own = list(base)
+        for _ in range(1 + v % 9):
+            own[rng.randrange(90)] = f"x{rng.randrange(60)}"
+        rows.append(("chunk", f"h{v:03}", " ".join(own)))
+    assert found(spark, rows, 3, 0.7) == brute(rows, 3, 0.7)
+
+
+def test_the_plan_is_short(spark):
+    plan = near_duplicates(spark.createDataFrame([("k", "a", "x y z q")], SCHEMA), 3, 0.7).links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 20
+
+
 def test_nulls_short_texts_and_repeats(spark):
     long = " ".join(f"t{i % 977}" for i in range(30_000))
     rows = [
