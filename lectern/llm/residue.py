@@ -1,12 +1,14 @@
 """Template residue and pages that hold a message instead of content.
 
-Method: sentences of all records are aligned by their opening words; where aligned records differ
-there is a slot, and a slot that still holds a variable name is residue. A
-sentence that recurs unchanged beside different neighbours is a constant of its template, not a
-slot, so texts that merely show a placeholder are kept; an unambiguous variable must also be quoted or
-explained in it, since true residue recurs unchanged in large tables. Each page
-is judged by its own lines: pages that consist of notices alone, of dummy words or of unfilled labels are
-error pages, script notices, filler and placeholders.
+Method: records of one template are aligned and compared. Sentences are aligned by their opening
+words; where aligned records differ there is a slot, and a slot that still holds a variable name, a
+default or a blank is residue. A sentence that recurs unchanged beside different neighbours is a
+constant of its template, not a slot, so texts that merely show a placeholder are kept; an
+unambiguous variable must also be quoted or explained in it, since true residue recurs unchanged in
+large tables. Pages are compared by the words of their lines: a line that recurs on different pages
+without other content, and hardly on others, is the message of a template, and pages that say nothing
+else are error pages or script notices. Pages of dummy words, of one sentence over and over, or of
+unfilled labels are filler.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import words as W
 from lectern.tables import materialise, spread
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -33,6 +37,8 @@ STRONG = (
 WEAK = r"\{(?:\d|[a-z]+(?:_[a-z]+)*)\}|#[A-Z]+(?:_[A-Z]+)*#|\[[A-Z]{2,}(?:[ _][A-Z]+)*\]|«[A-Z][a-z]+(?:_[A-Z][a-z]+)*»"
 #: Values that stand where a field was never filled in.
 DEFAULT = r"\?{2,}|t\.?b\.?[acd]\.?|to be (?:written|added|confirmed|defined|announced|completed)|(?:content )?coming soon|n/?n|x{3,}|_{3,}|\.{3,}|…+"
+#: Defaults and blanks that may stand in a sentence; they need the evidence of other records too.
+BLANK = r"\?{3,}|\b(?i:t\.?b\.?[acd])\b|\bto be (?:written|added|confirmed|defined|announced|completed)\b|\[[A-Za-z]+(?: [A-Za-z]+){0,3}\]|_{4,}"
 LABEL_LINE = rf"(?im)^[ \t]*[\w][\w ]{{1,24}}:[ \t]*(?:{DEFAULT})[ \t]*$"
 CODE = r"```[\s\S]*?(?:```|\z)|`[^`\n]*`"
 #: Words so common in the four languages that running text cannot do without them.
@@ -40,24 +46,9 @@ COMMON_WORDS = (
     "the of and to is are that this each any for with from not may be in on at by der die das und ist nicht auch wenn den für mit auf "
     "muss wurde le les des une est pas pour dans sur qui que et du el los las por para una con se hay y"
 ).split()
-#: What portals say when they have no content to show.
-ERROR = (
-    r"\b(?:http(?:/\d\.\d)?|error|erreur|fehler|status)\s*:?\s*[1-5]\d\d\b|does not exist or has been moved|page (?:was )?not found|can'?t find that (?:document|page)"
-    r"|could not complete your request|something went wrong|access denied|permission to (?:view|access)|session has (?:timed out|expired)|too many requests"
-    r"|gateway (?:did not answer|time-?out)|bad gateway|service (?:temporarily )?unavailable|down for maintenance|could not connect to|internal server error"
-    r"|link has expired|no se encuentra la página|página no encontrada|est introuvable|seite wurde nicht gefunden|nicht verfügbar|null pointer|stack ?trace|(?:uncaught|unhandled) exception"
-)
-SCRIPT = (
-    r"javascript|\bnoscript\b|\bscripts?\b.{0,40}\bblocked|\bscript(?:s|ing)\b.{0,60}\b(?:turned off|disabled|enable|allow|needs?|turn them on|cookies)|\b(?:enable|allow|needs?|turn on)\b.{0,40}\bscripts?\b"
-    r"|browser is (?:not supported|out of date|outdated)|unsupported browser|checking your browser|cookies and scripts|switch on (?:java)?script"
-)
-#: Lines of a page around its content.
-SHELL = (
-    r"reference: \w+|at [\w.$<>]+:\d+|caused by: .*|(?:home|menu|startseite|accueil|inicio|print this page|skip to (?:main )?content)\b.*|related|published .{0,20}|\* .*"
-    r"|[\w -]+ counter, open \d+ to \d+"
-)
-#: Phrases that dummy text is made of, and the syllables of mock Latin.
-DUMMY = r"lorem ipsum|dolor sit amet|(?:sample|dummy|filler|placeholder) (?:text|paragraph)|(?:headline|text|title) goes here|platzhaltertext|blindtext|texte (?:factice|de remplissage)|texto de (?:relleno|ejemplo)|section title|used to test the layout"
+#: Words by which a message that recurs on pages without content is named a script notice; all others are error pages.
+SCRIPT_WORDS = ("script", "browser", "cookie")
+#: The syllables of mock Latin, and what is typed to fill space.
 SYLLABLES = "lorem ipsum dolor sit amet con sec tetur adipis cing elit sed do eius mod tempor in cidi dunt ut la bore et magna ali qua enim ad minim veniam quis nos trud exer ci ta tion ul lam co boris nisi ex ea modo quat duis au te iru re vol up velit esse cil lum fu giat nul pariatur lor met iam tur mag ris ven pis si ni na bo".split()
 MASH = r"[asdfghjkl]{3,6}|[qwertyuiop]{4,6}|[zxcvbnm]{3,6}|fdsa|jkl|x{2,}|test|foo|bar|baz|blah|bla"
 # -------------------------------------------------------------------------------------------
@@ -71,16 +62,23 @@ SHOWN = (
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("(?:" + "|".join(sorted(SYLLABLES, key=len, reverse=True)) + ")+")
 _MASH = re.compile(MASH)
-_ERROR, _SCRIPT, _DUMMY = (re.compile(x, re.I) for x in (ERROR, SCRIPT, DUMMY))
-_SHELL = re.compile(SHELL, re.I)
 _DEFAULT = re.compile(LABEL_LINE)
 _COMMON_SET = frozenset(COMMON_WORDS)
+_TOKEN = re.compile(r"[^\W\d_]+|\n")
+_ENDS = frozenset(".!?:\"”")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
-#: Words of which one at least is in every notice above, and in every dummy phrase.
-_HINT = re.compile(
-    r"error|erreur|fehler|http|status|page|script|browser|cookies|exception|denied|permission|session|request|gateway|unavailable|maintenance|connect|wrong|find\s+that|been\s+moved|expired|página|introuvable|gefunden|verfügbar|pointer|trace"
-)
-_DUMMY_HINT = re.compile(r"ipsum|dolor|sample|dummy|filler|placeholder|goes\s+here|blindtext|platzhalter|texte|texto|section\s+title|layout")
+#: Words of running text, outside of what makes a page residue, up to which it has no content.
+LITTLE = 8
+#: Words from which a line without an end mark is running text.
+LONG_LINE = 12
+#: Different pages on which a message recurs, and the share of its pages that have no other content.
+PAGES, EMPTY_SHARE = 3, 0.9
+
+#: Recurring lines up to this number (about 2 MB) are broadcast, more are joined by shuffle.
+BROADCAST_LINES = 200_000
+
+PAGE = "doc_id bigint, page bigint, filler boolean, lines array<long>, running array<int>, role array<tinyint>"
 
 
 @lru_cache(1 << 16)
@@ -88,62 +86,96 @@ def _mock(word: str) -> bool:
     return bool(_LATIN.fullmatch(word) or _MASH.fullmatch(word))
 
 
-def page_kind(text: str) -> str | None:
-    """Kind of a page without content, or None for a page with content."""
-    low = text.lower()
-    may_notice, may_dummy = _HINT.search(low) is not None, _DUMMY_HINT.search(low) is not None
-    left = _WORD.findall(low)
-    # no more than this many words can still be dummy: a line of them is mock Latin or stated to six tenths
-    left_words, left_mock = len(left), sum(map(_mock, left))
-    lines = [" ".join(x.split()).replace("’", "'") for x in text.split("\n")]
-    lines = [x for x in lines if x]
-    if not lines:
-        return None
-    notices, dummy, fields, rest = {"error_page": 0, "script_notice": 0}, 0, 0, 0
-    after_title = len(lines) > 1 and _SHELL.fullmatch(lines[1]) is not None and lines[1].lower().startswith("published")
-    sentences: list[str] = []
-    own_text: set[str] = set()
-    for i, line in enumerate(lines):
-        if rest > 8 and len(own_text) > 1 and rest > dummy + (left_words if may_dummy else left_mock / 0.6):
-            return None  # no rule below can be met any more: most pages end here
-        own = _WORD.findall(line.lower())
-        mock = sum(map(_mock, own))
-        left_words, left_mock = left_words - len(own), left_mock - mock
-        if _SHELL.fullmatch(line) or (i == 0 and after_title):
-            continue
-        if _DEFAULT.fullmatch(line):
-            fields += 1
-            continue
-        if may_notice and len(own) <= 25 and _SCRIPT.search(line):
-            notices["script_notice"] += 1
-        elif may_notice and len(own) <= 25 and _ERROR.search(line):
-            notices["error_page"] += 1
-        else:
-            here = [s.strip().lower() for s in re.split(r"(?<=[.!?])\s+", line) if s.strip()]
-            sentences += here
-            own_text.update(s for s in here if not (may_dummy and _DUMMY.search(s)))
-            common = sum(1 for w in own if w in _COMMON_SET)
-            stated = sum(len(_WORD.findall(m.group(0))) for m in _DUMMY.finditer(line)) if may_dummy else 0
-            if own and (mock + stated) / len(own) >= 0.6 and common / len(own) < 0.3:
-                dummy += len(own)
-            else:
-                rest += len(own)
-    if dummy and dummy >= rest:
-        return "filler"
-    if len(sentences) >= 3 and len(own_text) <= 1 and len(sentences) > len(set(sentences)):
-        return "filler"  # one sentence over and over
-    if fields and rest == 0 and not any(notices.values()):
-        return "filler"  # labels without a text in which a slot could have been left
-    if any(notices.values()) and rest <= 8:
-        return max(notices, key=lambda k: notices[k])
-    return None
-
-
-def _page_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        kind = [page_kind(t) for t in pdf["text"]]
-        out = pd.DataFrame({"doc_id": pdf["doc_id"], "residue": kind})
-        yield out[out["residue"].notna()]
+def _one_sentence(text: str) -> bool:
+    """One sentence three times or more, and hardly anything else."""
+    counts: dict[str, int] = {}
+    for line in text.split("\n"):
+        line = line.strip()
+        if line and (line[-1] in ".!?" or len(line.split()) >= LONG_LINE):
+            for x in _SENTENCE.split(line):
+                counts[x.strip(" .!?")] = counts.get(x.strip(" .!?"), 0) + 1
+    most = max(counts, key=lambda x: counts[x], default="")
+    return counts.get(most, 0) >= 3 and sum(n * len(_WORD.findall(x)) for x, n in counts.items() if x != most) <= LITTLE
+
+
+def _sequence(hashed: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """One hash for each of ``size`` sequences: ``at`` tells, in rising order, which sequence a value belongs to."""
+    count = np.bincount(at, minlength=size)
+    start = np.concatenate(([0], np.cumsum(count)[:-1]))
+    place = (np.arange(len(at)) - start[at]).astype(np.uint64)
+    out = count.astype(np.uint64)
+    full = np.flatnonzero(count)
+    if len(full):
+        out[full] += np.add.reduceat(W.mix(hashed + place * np.uint64(0x9E3779B97F4A7C15)), start[full])
+    return W.mix(out)
+
+
+def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a page: its lines as hashes of their words, their words of running text, and what they can be.
+
+    role: 0 text that can't be a message, 1 a possible message, 2 one that speaks of scripts.
+    """
+    for whole in batches:
+        size = whole["text"].str.len().cumsum() // 4_000_000
+        for _, pdf in whole.groupby(size, sort=False):
+            tokens: list[str] = []
+            ends, field, bars, page, lows, distinct = [], [], [], [], [], []
+            for i, text in enumerate(pdf["text"]):
+                low = text.lower()
+                own = _TOKEN.findall(low)
+                distinct.append(len(set(own)))
+                tokens += own
+                tokens.append("\n")
+                lows.append(low)
+                lines = [x.strip() for x in low.split("\n")]
+                ends += [x[-1:] in _ENDS for x in lines]
+                field += [":" in x and _DEFAULT.fullmatch(x) is not None for x in lines] if ":" in low else [False] * len(lines)
+                bars += ["|" in x for x in lines] if "|" in low else [False] * len(lines)
+                page += [i] * len(lines)
+            codes, unique = pd.factorize(np.array(tokens, dtype=object))
+            stop = (unique == "\n")[codes]
+            at, codes = (np.cumsum(stop) - stop)[~stop], codes[~stop]  # the line and the code of every word
+            ends, field, bars, page = np.array(ends), np.array(field), np.array(bars), np.array(page)
+            count = lambda of: np.bincount(at, of[codes], len(page)).astype(np.int64)  # noqa: B023, E731
+            total = lambda x: np.bincount(page, x, len(pdf)).astype(np.int64)  # noqa: B023, E731
+            n = np.bincount(at, minlength=len(page))
+            mock, common = count(np.array([_mock(w) for w in unique])), count(np.array([w in _COMMON_SET for w in unique]))
+            dummy = (n > 0) & (mock >= 0.6 * n) & (common < 0.3 * n) & ~field
+            running = np.where((ends | (n >= LONG_LINE) | dummy) & ~field, n, 0)
+            rest, filled = total(np.where(dummy, 0, running)), total(np.where(dummy, n, 0))
+            filler = ((filled > 0) & (filled >= rest)) | ((total(field) > 0) & (rest == 0) & ((total(field) > 1) | (total(np.where(field, 0, n)) <= LITTLE)))
+            for i in np.flatnonzero(~filler & (np.array(distinct) * 3 <= total(n) + 3 * LITTLE + 3) & (rest > 0)):
+                filler[i] = _one_sentence(lows[i])
+            hashed = _sequence(pd.util.hash_array(unique, categorize=False)[codes], at, len(page))
+            role = np.where(((running >= 3) | (n >= 5)) & ~bars, 1 + (count(np.array([any(x in w for x in SCRIPT_WORDS) for w in unique])) > 0), 0).astype(np.int8)
+            page_hash = _sequence(hashed, page, len(pdf)).view(np.int64)
+            kept = np.flatnonzero((running > 0) | (role > 0))
+            cuts = np.searchsorted(page[kept], np.arange(1, len(pdf)))
+            hashed, running = hashed.view(np.int64)[kept], running[kept].astype(np.int32)
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"].to_numpy(), "page": page_hash, "filler": filler,
+                "lines": np.split(hashed, cuts), "running": np.split(running, cuts), "role": np.split(role[kept], cuts),
+            })
+
+
+def page_residue(docs: DataFrame) -> DataFrame:
+    """Pages without content and their kind: (doc_id, residue).
+
+    A line is a message if it recurs on PAGES different pages of which EMPTY_SHARE or more have no
+    other content. A page that has a message and hardly any other running text is residue.
+    """
+    pages = materialise(docs.select("doc_id", "text").mapInPandas(_pages, PAGE), "pages")
+    said = pages.where("not filler").select("doc_id", "page", F.aggregate("running", F.lit(0), lambda a, x: a + x).alias("total"), F.explode(F.arrays_zip("lines", "running", "role")).alias("l"))
+    said = said.select("doc_id", "page", "total", F.col("l.lines").alias("line"), F.col("l.running").alias("words"), F.col("l.role").alias("role"))
+    alone = F.col("total") - F.col("words") <= LITTLE
+    often = said.where("role > 0").groupBy("line").agg(F.count("*").alias("n"), F.count_if(alone).alias("empty")).where((F.col("empty") >= PAGES) & (F.col("empty") >= EMPTY_SHARE * F.col("n")))
+    often = materialise(often.select("line"), "often")
+    hint = lambda d: F.broadcast(d) if d.count() <= BROADCAST_LINES else d
+    different = said.where(alone).join(hint(often), "line").select("line", "page").distinct().groupBy("line").agg(F.count("*").alias("pages"))
+    messages = hint(materialise(different.where(F.col("pages") >= PAGES).select("line"), "messages"))
+    hits = said.join(messages, "line").groupBy("doc_id", "page", "total").agg(F.sum("words").alias("words"), F.count_if(F.col("role") == 2).alias("scripts"), F.count("*").alias("lines"))
+    notices = hits.where(F.col("total") - F.col("words") <= LITTLE).select("doc_id", F.when(F.col("scripts") * 2 > F.col("lines"), "script_notice").otherwise("error_page").alias("residue"))
+    return pages.where("filler").select("doc_id", F.lit("filler").alias("residue")).unionByName(notices)
 
 
 def _may_mark(text: Column) -> Column:
@@ -163,19 +195,56 @@ def _sentences(text: Column) -> Column:
 
 
 def _opening(sentence: Column) -> Column:
-    """First three words, numbers and variables masked: the key records are aligned by."""
+    """A label up to its colon, or the first three words, numbers and variables masked: the key records are aligned by."""
     masked = F.when(_may_mark(sentence), F.regexp_replace(sentence, MARK, "□")).otherwise(sentence)
-    return F.regexp_replace(F.lower(F.regexp_extract(masked, r"^\W*?((?:[\w□'-]+\W+){0,2}[\w□'-]+)", 1)), r"\d+", "0")
+    return F.regexp_replace(F.lower(F.regexp_extract(masked, r"^\W*?(\w[\w ]{0,24}:|(?:[\w□'-]+\W+){0,2}[\w□'-]+)", 1)), r"\d+", "0")
+
+
+def blanks(docs: DataFrame) -> DataFrame:
+    """Sentences with a default or a blank: (doc_id, opening, before, after), lower case, with what stands before it and the next words.
+
+    What stands before must be a label or three words at least; a line to write on after a label is part of a form.
+    """
+    may = F.col("text").rlike(r"[Tt]\.?[Bb]\.?[ACDacd]")
+    for sign in ("???", "____", "[", "to be "):
+        may = F.contains("text", F.lit(sign)) | may
+    has = docs.where(may & F.col("text").rlike(BLANK)).select("doc_id", F.explode(_sentences(_no_code(F.col("text")))).alias("s")).where(F.col("s").rlike(BLANK) & ~F.col("s").rlike(MARK))
+    before = F.lower(F.regexp_extract("s", rf"^(.*?)(?:{BLANK})", 1))
+    after = F.lower(F.regexp_extract(F.regexp_extract("s", rf"^.*?(?:{BLANK})(.*)$", 1), r"^\W*([\w'-]+(?:\W+[\w'-]+)?)", 1))
+    out = has.select("doc_id", F.xxhash64(_opening(F.col("s"))).alias("opening"), before.alias("before"), after.alias("after"), F.regexp_extract("s", f"({BLANK})", 1).alias("mark"))
+    label = F.col("before").rlike(r"^\W*\w[\w ]{0,24}:\s*$")
+    return out.where((label & ~F.startswith("mark", F.lit("_"))) | F.col("before").rlike(r"^\W*(?:[\w'-]+\W+){3,}$")).drop("mark")
 
 
-def template_openings(docs: DataFrame) -> DataFrame:
-    """(opening hash, number of aligned sentences) over all documents, counted before the shuffle."""
-    s = docs.select(F.explode(_sentences(F.col("text"))).alias("s")).where(F.length("s") > 3)
-    return s.groupBy(F.xxhash64(_opening(F.col("s"))).alias("opening")).agg(F.count("*").alias("aligned"))
+def template_openings(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(opening, number of aligned sentences), and the distinct sentences (opening, s) of the ``wanted`` openings.
+
+    Counted before the shuffle, over all documents.
+    """
+    s = docs.select(F.explode(_sentences(F.col("text"))).alias("s")).where(F.length("s") > 3).withColumn("opening", F.xxhash64(_opening(F.col("s"))))
+    wanted = wanted.select("opening").distinct()
+    kept = s.join(F.broadcast(wanted.withColumn("kept", F.lit(True))) if wanted.count() <= BROADCAST_LINES else wanted.withColumn("kept", F.lit(True)), "opening", "left")
+    counts = materialise(kept.groupBy("opening", F.when(F.col("kept"), F.lower("s")).alias("s")).agg(F.count("*").alias("n")), "openings")
+    return counts.groupBy("opening").agg(F.sum("n").alias("aligned")), counts.where("s is not null").select("opening", "s")
+
+
+def unfilled(found: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id): records with a default or blank where others of the same template hold something else.
+
+    Others begin with the same words and go on with the same words after the slot. At least two
+    different ones must be filled, and as many as are not.
+    """
+    slots = found.groupBy("opening", "before", "after").agg(F.countDistinct("doc_id").alias("open"))
+    lengths = slots.groupBy("opening").agg(F.collect_set(F.length("before")).alias("lengths"))
+    begin = sentences.where(~F.col("s").rlike(BLANK) & ~F.col("s").rlike(f"(?i){MARK}")).join(lengths, "opening").select("opening", "s", F.explode("lengths").alias("length"))
+    begin = begin.where(F.length("s") > F.col("length")).withColumn("before", F.expr("left(s, length)")).withColumn("rest", F.expr("substring(s, length + 1)"))
+    same = begin.join(slots, ["opening", "before"]).where((F.col("after") == "") | F.contains("rest", "after"))
+    filled = same.groupBy("opening", "before", "after", "open").agg(F.count("*").alias("filled")).where("filled >= 2 and filled >= open")
+    return found.join(filled.select("opening", "before", "after"), ["opening", "before", "after"]).select("doc_id").distinct()
 
 
 def slot_residue(docs: DataFrame) -> DataFrame:
-    """Slots that still hold a variable: (doc_id, literal, opening, aligned, slot).
+    """(doc_id) of documents with a slot that still holds a variable, a default or a blank.
 
     Sentences with a variable are few, so only they are regrouped; the counts of aligned sentences
     come from one map-side-combined pass over all sentences.
@@ -193,10 +262,11 @@ def slot_residue(docs: DataFrame) -> DataFrame:
     )
     marked = materialise(marked, "marked")
     # a sentence that is the same beside different neighbours is a constant of the template
-    constant = marked.groupBy("same").agg(F.approx_count_distinct("before").alias("beside"), F.approx_count_distinct("copy").alias("copies"))
-    by_literal = marked.groupBy("literal").agg(F.approx_count_distinct("same").alias("sentences"))
-    by_slot = marked.groupBy("opening").agg(F.approx_count_distinct("literal").alias("fillers"), F.count("*").alias("unfilled"))
-    openings = template_openings(docs)
+    constant = marked.groupBy("same").agg(F.countDistinct("before").alias("beside"), F.countDistinct("copy").alias("copies"))
+    by_literal = marked.groupBy("literal").agg(F.countDistinct("same").alias("sentences"))
+    by_slot = marked.groupBy("opening").agg(F.countDistinct("literal").alias("fillers"), F.count("*").alias("unfilled"))
+    found = materialise(blanks(docs), "blanks")
+    openings, sentences = template_openings(docs, found)
     aligned = marked.join(constant, "same").join(by_literal, "literal").join(by_slot, "opening").join(openings, "opening", "left")
     weak_proof = (F.col("sentences") >= 2) | (F.col("fillers") >= 2) | (F.coalesce("aligned", F.lit(0)) > F.col("unfilled")) | (F.col("copies") <= 2) | (F.col("beside") * 2 < F.col("copies"))
     # copies of one text with small edits mostly keep the neighbour, so it must differ as a rule
@@ -204,15 +274,7 @@ def slot_residue(docs: DataFrame) -> DataFrame:
     # true residue recurs too, the more the larger the table: an unambiguous variable must also be shown as one
     strong = F.col("literal").rlike(f"^(?:{STRONG})$")
     fixed = fixed & (~strong | F.regexp_replace("s", STRONG, "□").rlike(SHOWN))
-    return aligned.select(
-        "doc_id", "literal", F.col("s").alias("sentence"), F.coalesce("aligned", F.lit(0)).alias("aligned"), "fillers",
-        (~fixed & (strong | weak_proof)).alias("slot"),
-    )
-
-
-def page_residue(docs: DataFrame) -> DataFrame:
-    """Pages without content and their kind: (doc_id, residue)."""
-    return docs.select("doc_id", "text").mapInPandas(_page_batches, "doc_id bigint, residue string")
+    return aligned.where(~fixed & (strong | weak_proof)).select("doc_id").unionByName(unfilled(found, sentences)).distinct()
 
 
 def residue(docs: DataFrame) -> DataFrame:
@@ -224,7 +286,7 @@ def residue(docs: DataFrame) -> DataFrame:
     """
     docs = spread(docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
     pages = page_residue(docs)
-    slots = slot_residue(docs).where("slot").select("doc_id", F.lit("placeholder").alias("residue"))
+    slots = slot_residue(docs).select("doc_id", F.lit("placeholder").alias("residue"))
     return slots.unionByName(pages).groupBy("doc_id").agg(F.min_by("residue", F.when(F.col("residue") == "placeholder", 1).otherwise(0)).alias("residue"))
 
 
