@@ -4,7 +4,8 @@ Method: the openings of all answers are clustered by MinHash, every link verifie
 similarity. A cluster that recurs across unrelated prompts is a template; where it carries nothing
 that belongs to a prompt and is mostly recorded as no answer, it is a refusal. Copies of the
 question, answers in another language and answers that break off are found by checks of the single
-pair; whether a last word can end a sentence is learned from the ends of all sentences.
+pair. What a language looks like is learned from labelled texts, as frequencies of three letters in a
+row; whether a last word can end a sentence is learned from the ends of all sentences.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
@@ -23,8 +25,8 @@ from lectern.tables import materialise
 
 #: Words of an answer that make its opening, words of a shingle, and the similarity of a link.
 OPENING, SHINGLE, SIMILAR = 12, 5, 0.8
-#: Bands and rows of the MinHash index: a pair at SIMILAR is missed once in 8,000 times.
-BANDS, ROWS = 18, 4
+#: Bands and rows of the MinHash index: a pair at SIMILAR is missed once in 3,500 times.
+BANDS, ROWS = 8, 2
 #: Unrelated prompts that make an opening a template.
 PROMPTS = 3
 #: Share of a template's answers recorded as no answer that makes it a refusal.
@@ -33,29 +35,14 @@ DECLINED = 0.3
 CITING = 0.2
 #: Occurrences from which the learned sentence ends are trusted, and the least share of ends.
 SEEN, ENDS = 30, 0.004
+#: Labelled texts that the languages are learned from, at most about, and texts that make a language.
+LABELLED, LANGUAGE_TEXTS = 20_000, 3
+#: Letters are numbered up to this; the natural logarithm of the odds from which a language is told.
+LETTERS, ODDS = 64, 8.0
 
 # ---- fixed values -------------------------------------------------------------------------
 #: Written forms of nothing.
 NOTHING = ("none", "null", "nil", "nan", "na", "n a", "no text", "no answer", "answer", "antwort", "réponse", "respuesta", "undefined", "empty", "keine antwort", "sin respuesta", "pas de réponse", "tbd")
-#: Phrases by which an answer declines; used where a table is too small for templates to recur.
-DECLINE = (
-    r"\b(?:sorry|afraid)\b.{0,40}\b(?:can ?not|can'?t|unable|outside)|\b(?:can'?t|cannot|unable to|not able to) (?:help with|answer|assist|reply)|not enough information|none of the passages|could ?n[o']t (?:locate|find|be found)"
-    r"|say(?:s)? nothing about this|no answer can be given|cannot be determined|must pass|outside what the material"
-    r"|reicht für eine antwort nicht|dazu steht nichts|nicht beantworten|kann ich .{0,30}nicht|ne suffit pas pour répondre|n'en disent rien|ne peux pas répondre|aucun passage"
-    r"|no basta para dar|no dicen nada al respecto|no puedo responder|no hay información"
-)
-#: Common words of the four languages; those that two of them share have no vote.
-LANGUAGE_WORDS = {
-    "en": "the of and is are to for with from which this that each any by was has have how does what when who why where be at an its it on as no yes if before after under must may",
-    "de": "der die das und ist nicht auch wenn den dem für mit auf wird wurde wer muss hat nach zu im vom sind eine einen einer obwohl oder aber ohne darf niemand wie viele tage amt ja nein kurz gesagt sobald falls gelten",
-    "fr": "le les des une est pas pour dans sur qui que et du au aux ne ni la sauf dès après sans nul peut toute personne doit combien jours bureau oui non bref il faut payer à en si mais",
-    "es": "el los las por para una con se hay que y la en de del si no sí pasados días también salvo nadie puede sin cuántos tiene oficina quién debe cuándo también breve quien pierda aunque pero",
-}
-#: Words after which no sentence of the four languages ends.
-DANGLING = (
-    "the a an of to and or with which between because unless under that if when whether but as at by for from in into on than while where who whose is are was were be has have had may must shall will each any this these those "
-    "der die das ein eine einen und oder mit für wenn weil dass obwohl zu im von bei nach ohne sobald le les des du de la un une et ou avec pour que qui si mais dans sur par sans dès el los las del una y o con para por como en al sino aunque cuando"
-).split()
 #: Marks that close a sentence, and marks that leave it open.
 CLOSING, OPEN = ".!?。！？…|", ",;:–—-([{/&+=<"
 # -------------------------------------------------------------------------------------------
@@ -63,10 +50,7 @@ CLOSING, OPEN = ".!?。！？…|", ",;:–—-([{/&+=<"
 _CITE = re.compile(r"\s*\[\d+\]")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
 _SENTENCE_END = re.compile(r"([^\W_]+)[\"”»')]*[.!?]+(?=\s|$)")
-_DECLINE = re.compile(DECLINE, re.I)
-_ALL = Counter(w for v in LANGUAGE_WORDS.values() for w in set(v.split()))
-_OWN = {k: frozenset(w for w in v.split() if _ALL[w] == 1) for k, v in LANGUAGE_WORDS.items()}
-_NOTHING, _DANGLING = frozenset(NOTHING), frozenset(DANGLING)
+_NOTHING = frozenset(NOTHING)
 
 
 def _bare(answer: str | None) -> str:
@@ -92,20 +76,91 @@ def is_copy(question: str | None, answer: str | None) -> bool:
     return sum(extra.values()) <= 4 and len(set(a) & set(q)) >= 0.8 * len(set(q))
 
 
-def language(text: str | None) -> tuple[str | None, dict[str, int]]:
-    """The language by common words outside quotations, and the votes; None where they don't decide."""
-    own = W.words_of(_QUOTED.sub(" ", _bare(text)))
-    votes = {k: sum(w in v for w in own) for k, v in _OWN.items()}
-    order = sorted(votes, key=lambda k: -votes[k])
-    clear = votes[order[0]] >= 2 and votes[order[0]] >= 2 * votes[order[1]] and votes[order[0]] >= 0.08 * len(own)
-    return (order[0] if clear else None), votes
+def _letters() -> np.ndarray:
+    """Number of every code point of the basic plane: 0 for what is no letter, a to z, and the rest by remainder."""
+    out = np.zeros(1 << 16, np.int32)
+    for c in range(1 << 16):
+        if chr(c).isalpha():
+            out[c] = c - 96 if 97 <= c <= 122 else 27 + c % (LETTERS - 27)
+    return out
 
 
-def is_foreign(question: str | None, answer: str | None) -> bool:
-    """The answer's language is clear and isn't the question's."""
-    asked, _ = language(question)
-    told, votes = language(answer)
-    return bool(asked and told and asked != told and votes[told] >= 2 * votes[asked])
+@cache
+def _numbers_of_letters() -> np.ndarray:
+    return _letters()
+
+
+def _triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code of every three characters in a row, text of each); runs of what is no letter count as one."""
+    joined = "\n\n".join(texts) + "\n\n"
+    points = np.minimum(np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
+    if len(points) != len(joined):  # a letter whose lower case is longer
+        return _triples([t.casefold().lower().encode("ascii", "ignore").decode() for t in texts])
+    letter = _numbers_of_letters()[points]
+    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+    keep = np.ones(len(letter), bool)
+    keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0)
+    letter, text = letter[keep], text[keep]
+    code = (letter[:-2] * LETTERS + letter[1:-1]) * LETTERS + letter[2:]
+    own = (text[:-2] == text[2:]) & (letter[1:-1] > 0)
+    return code[own], text[:-2][own]
+
+
+class Languages:
+    """Frequencies of three letters in a row, by language."""
+
+    def __init__(self, names: list[str], counts: np.ndarray) -> None:
+        self.names = names
+        share = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * counts.shape[1])
+        self.log = np.log(share).astype(np.float32)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages): logarithm of the likelihood of the letters of a text."""
+        code, text = _triples(texts)
+        return np.stack([np.bincount(text, row[code], len(texts)) for row in self.log], axis=1) if self.names else np.zeros((len(texts), 0))
+
+    def foreign(self, questions: list[str], answers: list[str]) -> np.ndarray:
+        """Whether the answer's language is clear and isn't the question's."""
+        if len(self.names) < 2 or not questions:
+            return np.zeros(len(questions), bool)
+        asked, told = self.scores(questions), self.scores(answers)
+        best = asked.argmax(axis=1)
+        every = np.arange(len(best))
+        clear = best_lead(asked) >= ODDS / 2
+        return clear & (told.max(axis=1) - told[every, best] >= ODDS)
+
+
+def best_lead(scores: np.ndarray) -> np.ndarray:
+    """How far the best language is before the next."""
+    top = np.partition(scores, -2, axis=1)
+    return top[:, -1] - top[:, -2]
+
+
+def _count_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for name, own in pdf.groupby("lang", sort=False):
+            code, n = np.unique(_triples(list(own["text"]))[0], return_counts=True)
+            yield pd.DataFrame({"lang": name, "code": code.astype(np.int32), "n": n, "texts": np.r_[len(own), np.zeros(max(len(code) - 1, 0), np.int64)][: len(code)]})
+
+
+def learn_languages(texts: DataFrame, limit: int = LABELLED) -> Languages:
+    """The languages of labelled texts (text, lang), from about ``limit`` of them, chosen by hash.
+
+    Labels are read by their first two letters in any case; some wrong ones do no harm. What is
+    collected has a row per language and three letters in a row, at most LETTERS ** 3 a language.
+    """
+    name = F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]{2})(?:[-_].*)?$", 1)
+    named = texts.select(F.col("text").alias("text"), name.alias("lang")).where("text is not null and lang != ''")
+    total = named.count()
+    chosen = named if total <= limit else named.where(F.pmod(F.xxhash64("text"), F.lit(total)) < limit)
+    counted = chosen.mapInPandas(_count_triples, "lang string, code int, n long, texts long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
+    sizes = counted.groupby("lang")["texts"].sum() if len(counted) else {}
+    names = sorted(k for k in dict(sizes) if sizes[k] >= max(LANGUAGE_TEXTS, 0.002 * sum(sizes)))
+    counts = np.zeros((len(names), LETTERS**3))
+    for i, k in enumerate(names):
+        own = counted[counted["lang"] == k]
+        counts[i, own["code"].to_numpy()] = own["n"].to_numpy()
+    return Languages(names, counts)
 
 
 def left_open(answer: str) -> tuple[bool, str]:
@@ -124,46 +179,46 @@ def left_open(answer: str) -> tuple[bool, str]:
     return False, "" if any(c.isdigit() for c in word) or text[-1] in "\"”»')]}" else word
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for question, answer in zip(pdf["question"], pdf["answer"], strict=True):
-            if is_empty(answer):
-                out.append(("empty", "", "", "", False, False))
-                continue
-            opens, last = left_open(answer)
-            kind = "copy" if is_copy(question, answer) else "language" if is_foreign(question, answer) else "truncated" if opens else ""
-            first, *rest = re.split(r"(?<=[.!?])\s+", _bare(answer), maxsplit=1)
-            out.append((kind, last, " ".join("0" if w.isdigit() else w for w in W.words_of(first)[:OPENING]), " ".join(W.words_of(rest[0] if rest else "")), bool(_DECLINE.search(answer)) and not any(c.isdigit() for c in answer) and len(W.words_of(answer)) <= 30, bool(_CITE.search(answer))))
-        yield pd.concat([pdf[["result_id", "prompt", "no_answer"]], pd.DataFrame(out, columns=["kind", "last", "opening", "tail", "declines", "cites"], index=pdf.index)], axis=1)
-
-
-def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences of words, at the end of a sentence and at an end without a mark, added up before the shuffle."""
-    seen: Counter[str] = Counter()
-    ends: Counter[str] = Counter()
-    opens: Counter[str] = Counter()
-
-    def counted() -> pd.DataFrame:
-        return pd.DataFrame({"word": list(seen), "seen": list(seen.values()), "ends": [ends[w] for w in seen], "opens": [opens[w] for w in seen]})
-
-    for pdf in batches:
-        for answer in pdf["answer"]:
-            text = _CITE.sub("", answer).lower()
-            seen.update(W.WORD.findall(text))
-            ends.update(_SENTENCE_END.findall(text))
-            opens.update([left_open(answer)[1]])
-        if len(seen) > 200_000:
+FEATURES = "result_id long, prompt string, no_answer boolean, kind string, last string, opening string, tail string, cites boolean, word string, seen long, ends long, opens long"
+
+
+def _features(languages: Languages):
+    """mapInPandas function: a row per pair, and the counts of words (word, seen, ends, opens), added up before they leave the task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
+        opens: Counter[str] = Counter()
+
+        def counted() -> pd.DataFrame:
+            none = np.full(len(seen), None, dtype=object)
+            own = {"word": np.array([*seen, None], dtype=object)[:-1], "seen": list(seen.values()), "ends": [ends[w] for w in seen], "opens": [opens[w] for w in seen]}
+            return pd.DataFrame({c.split()[0]: own.get(c.split()[0], none) for c in FEATURES.split(", ")})
+
+        for pdf in batches:
+            out = []
+            foreign = languages.foreign([_QUOTED.sub(" ", q or "") for q in pdf["question"]], [_QUOTED.sub(" ", _bare(a)) for a in pdf["answer"]])
+            for question, answer, other in zip(pdf["question"], pdf["answer"], foreign.tolist(), strict=True):
+                if is_empty(answer):
+                    out.append(("empty", "", "", "", False))
+                    continue
+                broken, last = left_open(answer)
+                text = _CITE.sub("", answer).lower()
+                seen.update(W.WORD.findall(text))
+                ends.update(_SENTENCE_END.findall(text))
+                if last:
+                    opens[last] += 1
+                kind = "copy" if is_copy(question, answer) else "language" if other else "truncated" if broken else ""
+                first, *rest = re.split(r"(?<=[.!?])\s+", _bare(answer), maxsplit=1)
+                out.append((kind, last, " ".join("0" if w.isdigit() else w for w in W.words_of(first)[:OPENING]), " ".join(W.words_of(rest[0] if rest else "")), bool(_CITE.search(answer))))
+            yield pd.concat([pdf[["result_id", "prompt", "no_answer"]], pd.DataFrame(out, columns=["kind", "last", "opening", "tail", "cites"], index=pdf.index, dtype=object)], axis=1).assign(word=np.full(len(pdf), None, dtype=object), seen=0, ends=0, opens=0)
+            if len(seen) > 200_000:
+                yield counted()
+                seen, ends, opens = Counter(), Counter(), Counter()
+        if seen:
             yield counted()
-            seen, ends, opens = Counter(), Counter(), Counter()
-    if seen:
-        yield counted()
 
-
-def sentence_ends(answers: DataFrame) -> DataFrame:
-    """(word, seen, ends, opens) over all answers."""
-    parts = answers.select("answer").where(F.col("answer").isNotNull()).mapInPandas(_ends, "word string, seen long, ends long, opens long")
-    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("seen", "ends", "opens")))
+    return run
 
 
 def _shingles(opening: str) -> np.ndarray:
@@ -178,78 +233,114 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(keys.shape[:2], np.uint64)
         for r in range(ROWS):
             total = W.mix(total + keys[:, :, r])
-        yield pd.DataFrame({"opening": np.repeat(pdf["opening"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(pdf)), "bucket": total.reshape(-1).view(np.int64)})
+        total = W.mix(total + np.arange(BANDS, dtype=np.uint64)[None, :])
+        yield pd.DataFrame({"opening": np.repeat(pdf["opening"].to_numpy(), BANDS), "bucket": total.reshape(-1).view(np.int64)})
 
 
-def _similar(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            s, t = _shingles(p), _shingles(q)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(both / (len(s) + len(t) - both))
-        return pd.Series(out, dtype="float64")
+def _alike(a: set[int], b: set[int]) -> bool:
+    both = len(a & b)
+    return both >= SIMILAR * (len(a) + len(b) - both)
 
-    return jaccard(a, b)
+
+def _led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (bucket, opening, leads) of buckets of two or more: an opening that no leader before it is similar to leads."""
+    bucket, leaders, held = None, [], None
+    for pdf in batches:
+        out = []
+        for b, opening in zip(pdf["bucket"], pdf["opening"], strict=True):
+            if b != bucket:
+                bucket, leaders, held = b, None, opening  # a row alone in its bucket goes no further
+                continue
+            if leaders is None:
+                out.append((b, held, True))
+                leaders = [set(_shingles(held).tolist())]
+            own = set(_shingles(opening).tolist())
+            leads = not any(_alike(own, x) for x in leaders)
+            if leads:
+                leaders.append(own)
+            out.append((b, opening, leads))
+        yield pd.DataFrame(out, columns=["bucket", "opening", "leads"]).astype({"opening": object})
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verified links (opening, leader) of rows sorted by bucket, its leaders first: every row to every leader it is similar to."""
+    bucket, leaders = None, []
+    for pdf in batches:
+        out = []
+        for b, opening, leads in zip(pdf["bucket"], pdf["opening"], pdf["leads"], strict=True):
+            if b != bucket:
+                bucket, leaders = b, []
+            own = set(_shingles(opening).tolist())
+            out += [(opening, name) for name, known in leaders if _alike(own, known)]
+            if leads:
+                leaders.append((opening, own))
+        yield pd.DataFrame(out, columns=["opening", "leader"], dtype=object)
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """(opening, cluster) of distinct openings.
 
-    In every bucket of every band the members are linked to the bucket's least member, so a bucket
-    that holds a third of all rows costs no more than its rows; each link is verified.
+    The members of a bucket are linked to all its leaders, so a bucket that holds a third of all rows
+    costs no more than its rows times its different wordings. The least label spreads along the links
+    and from label to label, so that chains shrink by half a round.
     """
-    banded = materialise(openings.mapInPandas(_bands, "opening string, band int, bucket long"), "openings")
-    leaders = banded.groupBy("band", "bucket").agg(F.min("opening").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
-    links = banded.join(leaders, ["band", "bucket"]).where("opening != leader").select("opening", "leader").distinct()
-    links = materialise(links.where(_similar(F.col("opening"), F.col("leader")) >= SIMILAR), "links")
+    banded = openings.mapInPandas(_bands, "opening string, bucket long")
+    ordered = banded.repartition("bucket").sortWithinPartitions("bucket", "opening")
+    led = materialise(ordered.mapInPandas(_led, "bucket long, opening string, leads boolean"), "led")
+    ordered = led.repartition("bucket").sortWithinPartitions("bucket", F.desc("leads"), "opening")
+    links = materialise(ordered.mapInPandas(_linked, "opening string, leader string").distinct(), "links")
     both = links.unionByName(links.select(F.col("leader").alias("opening"), F.col("opening").alias("leader")))
     labels = materialise(both.groupBy("opening").agg(F.least(F.min("leader"), F.col("opening")).alias("cluster")), "labels")
-    while True:  # the least label spreads along the links until none changes
+    while True:
         near = both.join(labels.select(F.col("opening").alias("leader"), F.col("cluster").alias("other")), "leader").groupBy("opening").agg(F.min("other").alias("other"))
-        step = materialise(labels.join(near, "opening").select("opening", F.least("cluster", "other").alias("cluster"), (F.col("other") < F.col("cluster")).alias("moved")), "labels")
-        labels = step.select("opening", "cluster")
-        if step.where("moved").isEmpty():
+        step = labels.join(near, "opening").select("opening", "cluster", F.least("cluster", "other").alias("least"))
+        up = labels.select(F.col("opening").alias("least"), F.col("cluster").alias("above"))
+        step = materialise(step.join(up, "least", "left").select("opening", F.least("least", F.coalesce("above", "least")).alias("next"), "cluster"), "labels")
+        labels = step.select("opening", F.col("next").alias("cluster"))
+        if step.where("next < cluster").isEmpty():
             break
     return openings.join(labels, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
 
 
-def defects(results: DataFrame, answers: DataFrame) -> DataFrame:
+def defects(results: DataFrame, answers: DataFrame, labelled: DataFrame) -> DataFrame:
     """(result_id, defect) of every broken pair whose refusal_correct is null.
 
-    Repeated rows count once; missing answers rows and null flags count as not recorded. A null
-    answer, question or prompt is an empty text. Defects are looked for in the order empty, copy,
-    refusal, language, truncated; the first that holds is given.
+    ``labelled`` (text, lang) are texts that the languages are learned from; without any no answer is
+    in another language. Repeated rows count once; missing answers rows and null flags count as not
+    recorded. A null answer, question or prompt is an empty text. Defects are looked for in the order
+    empty, copy, refusal, language, truncated; the first that holds is given.
     """
+    languages = learn_languages(labelled)
     said = answers.select(F.col("query_id").alias("result_id"), "no_answer").groupBy("result_id").agg(F.max("no_answer").alias("no_answer"))
     own = results.where(F.col("refusal_correct").isNull() & F.col("result_id").isNotNull()).groupBy("result_id").agg(F.max_by(F.struct("question", "answer", "case_id"), F.struct(F.col("loaded_at").isNotNull(), "loaded_at")).alias("r"))
     pairs = own.select("result_id", "r.question", "r.answer", F.coalesce(F.col("r.case_id").cast("string"), "r.question").alias("prompt"))
     rows = pairs.join(said, "result_id", "left").select("result_id", "question", "answer", "prompt", "no_answer")
-    f = materialise(rows.mapInPandas(_features, "result_id long, prompt string, no_answer boolean, kind string, last string, opening string, tail string, declines boolean, cites boolean"), "pairs")
+    both = materialise(rows.mapInPandas(_features(languages), FEATURES), "pairs")
+    f = both.where("result_id is not null").select("result_id", "prompt", "no_answer", "kind", "last", "opening", "tail", "cites")
+    lexicon = both.where("result_id is null").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("seen", "ends", "opens")))
 
     # templates: openings that recur across unrelated prompts
     spoken = f.where("opening != ''")
     clusters = opening_clusters(spoken.select("opening").distinct())
-    tails = spoken.where("tail != ''").groupBy("tail").agg((F.approx_count_distinct("prompt") >= PROMPTS).alias("stock"))
+    tails = spoken.where("tail != ''").select("tail", "prompt").distinct().groupBy("tail").agg((F.count("*") >= PROMPTS).alias("stock"))
     cast = spoken.join(clusters, "opening").join(tails, "tail", "left").withColumn("bare", (F.col("tail") == "") | F.coalesce("stock", F.lit(False)))
-    templates = cast.groupBy("cluster").agg(
-        F.approx_count_distinct("prompt").alias("prompts"), F.avg(F.coalesce(F.col("no_answer").cast("int"), F.lit(0))).alias("declined"), F.avg(F.col("bare").cast("int")).alias("bare_share"), F.avg(F.col("declines").cast("int")).alias("worded"), F.avg(F.col("cites").cast("int")).alias("cites"),
-    )
-    refusing = templates.where(((F.col("prompts") >= PROMPTS) & (F.col("declined") >= DECLINED) & (F.col("bare_share") >= 0.5) & (F.col("cites") < CITING)) | ((F.col("worded") >= 0.5) & ((F.col("prompts") < PROMPTS) | (F.col("declined") > 0)))).select("cluster")
-    refusals = cast.where("bare or declines").join(refusing, "cluster").select("result_id", F.lit(True).alias("refuses"))
+    cast = materialise(cast.select("result_id", "prompt", "cluster", "no_answer", "bare", "cites"), "cast")
+    prompts = cast.select("cluster", "prompt").distinct().groupBy("cluster").agg(F.count("*").alias("prompts")).where(F.col("prompts") >= PROMPTS)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    templates = cast.groupBy("cluster").agg(share(F.col("no_answer")).alias("declined"), share(F.col("bare")).alias("bare"), share(F.col("cites")).alias("cites"))
+    refusing = templates.where((F.col("declined") >= DECLINED) & (F.col("bare") >= 0.5) & (F.col("cites") < CITING)).join(prompts, "cluster", "left_semi").select("cluster")
+    refusals = cast.where("bare").join(refusing, "cluster").select("result_id", F.lit(True).alias("refuses"))
 
     # terminations: a last word that is common but never ends a sentence, a piece of a common word, or one seen at open ends only
-    lexicon = materialise(sentence_ends(pairs), "ends")
-    last = f.where("last != ''").select("last").distinct().withColumn("word", F.col("last"))
-    known = last.join(lexicon, "word", "left")
+    lexicon = materialise(lexicon, "ends")
+    last = f.where("last != ''").select("last").distinct()
+    known = last.join(lexicon, last["last"] == lexicon["word"], "left")
     longer = F.broadcast(last) if last.count() <= 100_000 else last
     piece = lexicon.where(f"seen >= {SEEN}").select(F.col("word").alias("whole")).withColumn("last", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - 1, F.lit(1))), lambda n: F.substring("whole", F.lit(1), n))))
-    piece = piece.where("last != whole").join(longer.select("last"), "last", "left_semi").select("last").distinct().withColumn("piece", F.lit(True))
-    ends = known.join(piece, "last", "left").select(
-        "last",
-        (F.col("last").isin(*DANGLING) | ((F.col("seen") >= SEEN) & (F.col("ends") < ENDS * F.col("seen"))) | (F.coalesce("piece", F.lit(False)) & (F.coalesce("ends", F.lit(0)) == 0)) | ((F.col("seen") >= 2) & (F.col("seen") <= F.col("opens")))).alias("breaks"),
-    )
+    piece = piece.where("last != whole").join(longer, "last", "left_semi").select("last").distinct().withColumn("piece", F.lit(True))
+    never = (F.col("seen") >= SEEN) & (F.col("ends") < ENDS * F.col("seen"))
+    part = F.coalesce("piece", F.lit(False)) & (F.coalesce("ends", F.lit(0)) == 0)
+    ends = known.join(piece, "last", "left").select("last", (never | part | ((F.col("seen") >= 2) & (F.col("seen") <= F.col("opens")))).alias("breaks"))
     judged = f.join(refusals, "result_id", "left").join(ends, "last", "left")
     defect = F.when(F.col("kind").isin("empty", "copy"), F.col("kind")).when(F.col("refuses"), "refusal").when(F.col("kind") != "", F.col("kind")).when(F.col("breaks"), "truncated")
     return judged.select("result_id", defect.alias("defect")).where(F.col("defect").isNotNull()).distinct()

@@ -22,7 +22,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken question-answer pairs and their defect."""
-    return pairs.defects(table(spark, sf_dir, "case_results"), table(spark, sf_dir, "answers"))
+    return pairs.defects(table(spark, sf_dir, "case_results"), table(spark, sf_dir, "answers"), table(spark, sf_dir, "documents"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,11 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p7_mix, p7_shares, p8_found, p8_kept)}
 
 #: SQL for those queries that SQL can state; the others are tested against brute force.
-_CLEAN = r"""regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace({0}, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), '</?(b|i|u|em|strong|span|sup|sub|a|font|mark|code|small|big)(\s[^<>]*)?>', '', 'g'), '</?[a-zA-Z][^<>]{{0,200}}>', ' ', 'g')), '[\pL\pN]+')"""
+_ATTRIBUTES = r"""(?:\s+[\w:@.-]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''<>=]+))?)*\s*/?>"""
+_CLEAN = (
+    r"regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace({0}, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), '(?i)</?(b|i|u|em|strong|span|sup|sub|a|font|mark|code|small|big)\b"
+    + _ATTRIBUTES + "', '', 'g'), '</?[a-zA-Z][\\w:-]*" + _ATTRIBUTES + r"|<!--[\s\S]*?-->', ' ', 'g')), '[\pL\pN]+')"
+)
 _JOINED = r"""regexp_replace({0}, '([\pL\pN])[-\x{{2010}}\x{{00AD}}\x{{00AC}}][ \t\x{{200B}}\x{{2060}}]*\r?\n[ \t>]*', '\1', 'g')"""
 _SPLIT = r"""regexp_replace({0}, '-[ \t]*\r?\n', '- ', 'g')"""
 
