@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.tables import spread
+from lectern.tables import materialise, spread
 
 #: Consecutive words of a reference text that count as a leak.
 RUN = 12
@@ -32,13 +32,15 @@ SHINGLE = 5
 ROWS = 2
 #: Least sizes of the size partitions, and with that the window lengths.
 CLASSES = (1, 3, 6, RUN)
-#: Signatures or candidate rows up to this number (about 30 MB) are broadcast, more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Signatures up to this number, and texts of items up to this many bytes, are broadcast (about 30 MB); more are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u180e\u034f]")
 _BROKEN = re.compile("(?<=[^\\W_])[-\u2010\u00ad\u00ac][ \\t\u200b\u2060]*\\r?\\n[ \\t>]*(?=[^\\W_])")
-_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|sup|sub|a|font|mark|code|small|big)(?:\s[^<>]*)?>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->")
+#: Attributes of a tag, of any number and length, up to its end.
+_ATTRIBUTES = r"""(?:\s+[\w:@.-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*\s*/?>"""
+_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|sup|sub|a|font|mark|code|small|big)\b" + _ATTRIBUTES, re.I)
+_TAG = re.compile(r"</?[a-zA-Z][\w:-]*" + _ATTRIBUTES + r"|<!--[\s\S]*?-->")
 _ENTITY = re.compile(r"&#?\w{1,10};")
 
 
@@ -147,17 +149,18 @@ def leaks(docs: DataFrame, cases: DataFrame, broadcast_rows: int = BROADCAST_ROW
     least = F.lit(CLASSES[0])
     for c in CLASSES[1:]:
         least = F.when(F.col("words") >= c, F.lit(c)).otherwise(least)
-    items = items.withColumn("length", least.cast("int")).cache()
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most len(CLASSES) rows
+    items = materialise(items.withColumn("length", least.cast("int")), "items")
+    measured = items.groupBy("length").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # at most len(CLASSES) rows
+    lengths, light = sorted(r["length"] for r in measured), sum(r["bytes"] for r in measured) <= BROADCAST_BYTES
     if not lengths:
         return docs.join(items.select("case_id", "whole"), F.lit(False)).select("doc_id", "case_id", "whole")
     wanted = items.select("item", "text").mapInPandas(_signatures("item", tuple(lengths)), "item bigint, length int, signature bigint")
-    wanted = wanted.join(items.select("item", "length"), ["item", "length"]).distinct()
+    wanted = materialise(wanted.join(items.select("item", "length"), ["item", "length"]).distinct(), "wanted")
     small = wanted.count() <= broadcast_rows
     signed = spread(docs).mapInPandas(_signatures("doc_id", tuple(lengths)), "doc_id bigint, length int, signature bigint")
     found = signed.join(F.broadcast(wanted) if small else wanted, ["length", "signature"]).select("doc_id", "item").distinct()
     texts = items.select("item", "case_id", "whole", F.col("text").alias("item_text"))
-    found = found.join(F.broadcast(texts) if small else texts, "item")
+    found = found.join(F.broadcast(texts) if light else texts, "item")
     # documents with candidates are few: their texts are read again rather than carried through the join
     pairs = docs.join(found, "doc_id").sortWithinPartitions("doc_id")
     return pairs.select("doc_id", "text", "item", "case_id", "whole", "item_text").mapInPandas(_contained, "doc_id bigint, case_id bigint, whole boolean").distinct()

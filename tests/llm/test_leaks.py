@@ -23,6 +23,13 @@ def test_partial_passages_markup_and_broken_words(spark, limit):
     assert found(spark, docs, cases, broadcast_rows=limit) == {(1, 10), (2, 10), (4, 10), (8, 10), (9, 10)}
 
 
+def test_tags_of_any_length_and_signs_that_are_no_tags(spark):
+    words = REF.split()
+    link = '<a class="' + "x y " * 200 + f'" href={"z" * 500} title=\'a > b\' hidden>'
+    docs = [(1, " ".join(words[:7]) + link + " ".join(["", *words[7:]])), (2, "depth <b> " + REF), (3, "if a <b, so " + REF + " and c> d"), (4, " ".join(words[:6]) + " <!-- a\nnote --> " + " ".join(words[6:]))]
+    assert found(spark, docs, [(10, None, REF)]) == {(1, 10), (2, 10), (3, 10), (4, 10)}
+
+
 def test_questions_need_all_their_words(spark):
     q = "does the lit tender box of the skiff count towards the lower estimate of the salted quay today"
     docs = [(1, "A: " + q.upper() + "?"), (2, q[: q.rindex(" ")]), (3, q.replace("tender box", "tender-\nbox")), (4, q.replace("skiff", "skiff old"))]
