@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -41,7 +42,28 @@ def history(turns: DataFrame, last: int = 6) -> DataFrame:
     return recent.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("history"))
 
 
-def complete(prompts: DataFrame, model: Callable[[list[str]], list[str]], column: str = "prompt") -> DataFrame:
+#: Tries of a model call, and seconds before the second, doubled before each further one.
+TRIES, PAUSE = 4, 5.0
+
+
+def may_pass(problem: Exception) -> bool:
+    """Whether an error is one of too many calls, which a pause may mend."""
+    return "429" in str(problem) or "rate" in str(problem).lower()
+
+
+def called(model: Callable[[list[str]], list[str]], texts: list[str], tries: int = TRIES, pause: float = PAUSE) -> list[str]:
+    """The replies of a model, tried again after growing pauses while it is called too often."""
+    for attempt in range(tries):
+        try:
+            return model(texts)
+        except Exception as problem:
+            if attempt + 1 == tries or not may_pass(problem):
+                raise
+            time.sleep(pause * 2**attempt)
+    return []
+
+
+def complete(prompts: DataFrame, model: Callable[[list[str]], list[str]], column: str = "prompt", tries: int = TRIES, pause: float = PAUSE) -> DataFrame:
     """``prompts`` with reply and error: the model gets a batch of texts; a failed batch is tried row by row.
 
     The function is sent to the workers; it makes its client there, once a partition.
@@ -51,12 +73,12 @@ def complete(prompts: DataFrame, model: Callable[[list[str]], list[str]], column
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             try:
-                yield pdf.assign(reply=model(list(pdf[column])), error="")
+                yield pdf.assign(reply=called(model, list(pdf[column]), tries, pause), error="")
             except Exception:
                 replies, errors = [], []
                 for text in pdf[column]:
                     try:
-                        replies.append(model([text])[0])
+                        replies.append(called(model, [text], tries, pause)[0])
                         errors.append("")
                     except Exception as problem:
                         replies.append(None)
@@ -66,6 +88,27 @@ def complete(prompts: DataFrame, model: Callable[[list[str]], list[str]], column
     return prompts.mapInPandas(run, f"{fields}, reply string, error string")
 
 
+def completion(body: Column) -> Column:
+    """Struct (text, error) of a model's response body: the first choice's content, or what it says went wrong."""
+    parsed = F.try_parse_json(body)
+    get = lambda path: F.try_variant_get(parsed, path, "string")
+    wrong = F.coalesce(get("$.error.message"), get("$.error"), F.when(parsed.isNull(), F.lit("no JSON")))
+    return F.struct(F.when(wrong.isNull(), get("$.choices[0].message.content")).alias("text"), wrong.alias("error"))
+
+
+def enrichment_targets(chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """The children that get a summary, once each; ``limit`` takes the first by document and place."""
+    children = chunks.where("kind = 'child'").dropDuplicates(["chunk_id"])
+    return children if limit is None else children.orderBy("doc_id", "seq", "chunk_id").limit(limit)
+
+
+def enrich(children: DataFrame, model: Callable[[list[str]], list[str]], instruction: str = "Say in one sentence where this passage stands in its document.", pause: float = PAUSE) -> DataFrame:
+    """Children (chunk_id, embed_text) with a model's sentence in front of what is embedded; unchanged where it fails."""
+    asked = children.withColumn("prompt", F.concat(F.lit(instruction + "\n\n"), F.coalesce("embed_text", F.lit(""))))
+    done = complete(asked, model, pause=pause)
+    return done.withColumn("embed_text", enriched(F.col("embed_text"), F.col("reply"))).drop("prompt", "reply", "error")
+
+
 def condensed(question: Column, reply: Column) -> Column:
     """The standalone question; the raw one where the model gave none."""
     return F.coalesce(F.nullif(F.trim(reply), F.lit("")), question)
@@ -94,7 +137,7 @@ def stream_deltas(lines: DataFrame) -> DataFrame:
 
     Lines that hold no JSON or an empty delta are skipped.
     """
-    data = lines.where(F.startswith("line", F.lit("data: "))).withColumn("body", F.substring("line", 7, 1_000_000))
+    data = lines.where(F.startswith("line", F.lit("data: "))).withColumn("body", F.regexp_replace("line", "^data: ", ""))
     done = F.max(F.when(F.col("body") == "[DONE]", 1).otherwise(0)).over(Window.partitionBy("query_id").orderBy("seq"))
     delta = F.try_variant_get(F.try_parse_json("body"), "$.choices[0].delta.content", "string")
     return data.withColumn("done", done).where("done = 0").select("query_id", "seq", delta.alias("delta")).where("delta is not null and delta != ''")

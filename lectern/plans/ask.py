@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.conf import DEFAULTS, Settings
+from lectern.operators import answering as A
 from lectern.operators import retrieval as R
 from lectern.operators.encoding import Encoder, encode, hashed_encoder
 from lectern.tables import materialise
 
+#: From a batch of prompts to their replies.
+Model = Callable[[list[str]], list[str]]
+#: What the model is told before a conversation.
+CONDENSE = "Put the last question of this conversation so that it can be understood alone."
+
 
 @dataclass
 class Retrieved:
@@ -60,3 +67,27 @@ def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, conf: Set
     blocks = materialise(R.expand_to_parents(hits, chunks.where("kind = 'parent'")), "blocks")
     titles = docs.groupBy("doc_id").agg(F.max("title").alias("title"), F.min("source_path").alias("source_path"))
     return Retrieved(reranked, R.outcome(questions, reranked, conf), R.within_budget(blocks, conf.context_token_budget).join(titles, "doc_id", "left"))
+
+
+def answer(questions: DataFrame, chunks: DataFrame, docs: DataFrame, model: Model, conf: Settings = DEFAULTS, history: DataFrame | None = None, found: DataFrame | None = None, score: Column | None = None, pause: float = A.PAUSE) -> DataFrame:
+    """(query_id, question, text, no_answer, error, top_score, sources): questions through search and model to answers.
+
+    With ``history`` (query_id, history) the model first makes a question that stands on its own.
+    Questions that nothing above the floor was found for get the fixed sentence and no call. An error
+    of the model leaves the text null and is reported.
+    """
+    asked = questions.select("query_id", "question")
+    if history is not None:
+        told = asked.join(history.select("query_id", "history"), "query_id", "left")
+        talk = told.where("history is not null").withColumn("prompt", F.concat(F.lit(CONDENSE + "\n\n"), "history", F.lit("\n\nQuestion: "), "question"))
+        own = A.complete(talk, model, pause=pause).select("query_id", A.condensed(F.col("question"), F.col("reply")).alias("question"))
+        asked = own.unionByName(told.where("history is null").select("query_id", "question"))
+    asked = materialise(asked, "asked")
+    done = retrieve(asked, chunks, docs, conf, found, score)
+    blocks = materialise(done.blocks, "context")
+    prompts = R.context(blocks).join(asked, "query_id").join(done.outcome.where("not no_answer").select("query_id"), "query_id")
+    prompts = prompts.select("query_id", F.to_json(A.messages(F.col("question"), F.col("context"))).alias("prompt"))
+    replies = materialise(A.complete(prompts, model, pause=pause), "replies")
+    told = A.answers(done.outcome.select("query_id", "no_answer"), replies, A.source_list(blocks), conf)
+    problem = replies.select("query_id", F.nullif("error", F.lit("")).alias("error"))
+    return told.join(asked, "query_id").join(problem, "query_id", "left").join(done.outcome.select("query_id", "top_score"), "query_id").select("query_id", "question", "text", "no_answer", "error", "top_score", "sources")

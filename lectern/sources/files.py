@@ -46,29 +46,69 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
 
 
-def parse(files: DataFrame, converter: Callable[[str, bytes], str] | None = None) -> DataFrame:
-    """(source_path, doc_id, doc_type, title, markdown, warning) of discovered files.
+class Converter:
+    """Reads formats that need a library: page counts and the markdown of a range of pages.
 
-    Markdown, text and HTML are read by text functions. Other formats need a ``converter`` from
-    (type, content) to markdown, called in tasks; without one they get a warning and no text. A
-    file that fails is reported and does not fail the others.
+    Sent to the workers and used there file by file; what is slow to make is made once a worker.
+    """
+
+    def pages(self, kind: str, content: bytes) -> int | None:
+        """Number of pages; None for formats without pages."""
+        return None
+
+    def markdown(self, kind: str, content: bytes, first: int | None, last: int | None) -> str:
+        """Text of the pages from ``first`` to ``last``, or of the whole file where they are None."""
+        raise NotImplementedError(f"no converter for {kind}")
+
+
+class _Function(Converter):
+    """A function of (type, content) as a converter of whole files."""
+
+    def __init__(self, function: Callable[[str, bytes], str]) -> None:
+        self.function = function
+
+    def markdown(self, kind: str, content: bytes, first: int | None, last: int | None) -> str:
+        return self.function(kind, content)
+
+
+def converted(converter: Converter, kind: str, content: bytes, segment: int, max_pages: int | None) -> tuple[str, int | None]:
+    """(markdown, pages) of one file: range by range in order; as a whole if that fails or there are no pages."""
+    total = converter.pages(kind, content)
+    wanted = min(total, max_pages) if total and max_pages else total
+    try:
+        ranges = [(i, min(i + segment - 1, wanted)) for i in range(1, (wanted or 0) + 1, segment)]
+        if ranges:
+            return "\n\n".join(converter.markdown(kind, content, i, j) for i, j in ranges), wanted
+    except Exception:  # a file that can't be read in ranges may still be read as a whole
+        return converter.markdown(kind, content, 1 if max_pages else None, wanted if max_pages else None), wanted
+    return converter.markdown(kind, content, None, None), wanted
+
+
+def parse(files: DataFrame, converter: Converter | Callable[[str, bytes], str] | None = None, segment: int = SEGMENT, max_pages: int | None = None) -> DataFrame:
+    """(source_path, doc_id, doc_type, title, markdown, num_pages, warning) of discovered files.
+
+    Markdown, text and HTML are read by text functions. Other formats need a ``converter``, or a function
+    from (type, content) to markdown, called in tasks; without one they get a warning and no text. A file that fails is reported and does not fail
+    the others.
     """
     title = F.regexp_extract("source_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     text = F.decode("content", "UTF-8")
     native = F.when(F.col("doc_type").isin("md", "txt"), text).when(F.col("doc_type") == "html", html_text(text))
     out = files.select("source_path", "doc_id", "doc_type", title.alias("title"), native.alias("markdown"), "content")
-    plain = out.where(F.col("doc_type").isin("md", "txt", "html")).drop("content").withColumn("warning", F.lit(None).cast("string"))
-    other = out.where(~F.col("doc_type").isin("md", "txt", "html"))
+    own = F.col("doc_type").isin("md", "txt", "html")
+    plain = out.where(own).drop("content").withColumn("num_pages", F.lit(None).cast("int")).withColumn("warning", F.lit(None).cast("string"))
+    reader = converter if isinstance(converter, Converter) else _Function(converter) if converter else Converter()
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = []
             for kind, content in zip(pdf["doc_type"], pdf["content"], strict=True):
                 try:
-                    done.append((converter(kind, content), None) if converter else (None, f"no converter for {kind}"))
+                    done.append((*converted(reader, kind, content, segment, max_pages), None))
                 except Exception as problem:
-                    done.append((None, str(problem)[:500]))
-            yield pdf.drop(columns="content").assign(markdown=[d[0] for d in done], warning=[d[1] for d in done])
+                    done.append((None, None, str(problem)[:500]))
+            frame = pd.DataFrame(done, columns=["markdown", "num_pages", "warning"], index=pdf.index, dtype=object)
+            yield pd.concat([pdf[["source_path", "doc_id", "doc_type", "title"]], frame.astype({"num_pages": "Int32"})], axis=1)
 
-    converted = other.mapInPandas(convert, "source_path string, doc_id string, doc_type string, title string, markdown string, warning string")
-    return plain.unionByName(converted)
+    read = out.where(~own).mapInPandas(convert, "source_path string, doc_id string, doc_type string, title string, markdown string, num_pages int, warning string")
+    return plain.unionByName(read)

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that this process has written, and folders it has made for sessions without a shared one, by application.
+_WRITTEN: dict[str, list[str]] = {}
+_OWN: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data directory."""
@@ -14,15 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is made only where the
-    session has none, as in tests on one machine.
+    Where it is unset, a session in one process gets a folder of its own; on a cluster that is an
+    error, since a folder of one machine would not be seen by the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        own = spark.sparkContext.applicationId
+        if own in _OWN:
+            return _OWN[own]
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors can reach")
+        named = _OWN[own] = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return named
 
 
@@ -35,9 +44,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Removes the tables that ``materialise`` has written for this application, and returns their number.
+
+    Results that were not yet written or collected can't be read after that.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, where its files make fewer partitions than there are cores.
 
