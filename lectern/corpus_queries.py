@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from lectern import corpus_sql
 from lectern.conf import DEFAULTS
 from lectern.functions import text as T
-from lectern.operators import answering, chunking, cleaning, evaluation, registry, traces
+from lectern.operators import answering, chunking, cleaning, encoding, evaluation, registry, traces
 from lectern.operators import retrieval as R
-from lectern.plans import ask, ingest
+from lectern.plans import ask, evaluate, ingest
 from lectern.sources import files
 from lectern.streaming.traces import windowed_counts
 from lectern.tables import table
@@ -436,8 +436,10 @@ def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation -----------------------------------------------------------------------------
 
 _RESULTS = "c AS (SELECT DISTINCT ON (result_id) * FROM case_results)"
-_METRICS = """count(*)::DOUBLE AS cases, round(avg(hit::INT) FILTER (hit IS NOT NULL) + 1e-9, 3) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0.0)) FILTER (hit IS NOT NULL) + 1e-9, 3) AS mrr, round(avg(refusal_correct::INT) + 1e-9, 3) AS refusal_accuracy,
-round(avg(keywords_found) + 1e-9, 3) AS keyword_recall, round(avg(faithfulness) + 1e-9, 3) AS faithfulness, round(avg(relevance) + 1e-9, 3) AS relevance, round(avg(seconds) + 1e-9, 3) AS avg_seconds"""
+_MEAN = "round(sum(round(({0})::DOUBLE, 9)::DECIMAL(28, 9))::DOUBLE / nullif(count({0}), 0), 3)"
+_METRICS = "count(*)::DOUBLE AS cases, " + ", ".join(f"{_MEAN.format(v)} AS {k}" for k, v in {
+    "hit_rate": "hit::INT", "mrr": "CASE WHEN hit IS NOT NULL THEN coalesce(1.0::DOUBLE / rank, 0.0) END", "refusal_accuracy": "refusal_correct::INT", "keyword_recall": "keywords_found", "faithfulness": "faithfulness", "relevance": "relevance", "avg_seconds": "seconds",
+}.items())
 _UNPIVOT = "m UNPIVOT INCLUDE NULLS (value FOR metric IN (cases, hit_rate, mrr, refusal_accuracy, keyword_recall, faithfulness, relevance, avg_seconds))"
 
 
@@ -515,3 +517,175 @@ SELECT user_id, session::BIGINT AS session, min(ts) AS started, max(ts) AS ended
 def trace_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users: events no more than half an hour apart."""
     return traces.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 30).select("user_id", "session", "started", "ended", "events")
+
+
+# ---- parts of documents, blocks and chunks ----------------------------------------------------
+
+
+@query(f"WITH {corpus_sql.PARSED} SELECT doc_id, substr(sha256(markdown), 1, 16) AS content_id FROM p")
+def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity of the content of every parsed document."""
+    return _parsed(spark, sf_dir).select("doc_id", T.content_id(F.encode("markdown", "UTF-8")).alias("content_id"))
+
+
+@query("SELECT DISTINCT doc_id, section_idx, block_idx, translate(text, '‖―‗', '\"-_') AS text FROM blocks WHERE is_table AND text IS NOT NULL")
+def normalized_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with their glyphs put right, pipes and line ends as they were."""
+    rows = table(spark, sf_dir, "blocks").where("is_table and text is not null").select("doc_id", "section_idx", "block_idx", "text").distinct()
+    return rows.withColumn("text", T.normalize_table(F.col("text")))
+
+
+@query(r"""WITH b AS (SELECT DISTINCT doc_id, section_idx, block_idx, text FROM blocks WHERE text IS NOT NULL),
+s AS (SELECT *, string_split(regexp_replace(text, '([.!?;])\s+([A-Z(\d])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM b)
+SELECT doc_id, section_idx, block_idx, len(s) AS sentences, list_max(list_transform(s, lambda x: length(x))) AS longest FROM s""")
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every block and the length of the longest."""
+    rows = table(spark, sf_dir, "blocks").where("text is not null").select("doc_id", "section_idx", "block_idx", "text").distinct()
+    s = rows.withColumn("s", T.sentences(F.col("text")))
+    return s.select("doc_id", "section_idx", "block_idx", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
+
+
+@query(rf"""WITH RECURSIVE {corpus_sql.ITEMS}, l AS (SELECT doc_id, item_idx, regexp_extract(text, '^\s*([-*+]|\d{{1,3}}[.)])\s', 1) AS marker, regexp_replace(text, '^\s*([-*+]|\d{{1,3}}[.)])\s+', '') AS rest FROM i WHERE kind = 'list')
+SELECT doc_id, item_idx, CASE WHEN regexp_matches(marker, '^\d{{1,3}}\.$') THEN marker || ' ' || rest ELSE rest END AS text FROM l""")
+def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List items without their bullets, numbers restored."""
+    rows = cleaning.markdown_items(table(spark, sf_dir, "parsed_docs")).where("kind = 'list'")
+    pattern = r"^\s*([-*+]|\d{1,3}[.)])\s"
+    own = rows.select("doc_id", "item_idx", F.regexp_extract("text", pattern, 1).alias("marker"), F.regexp_replace("text", pattern + r"+", "").alias("rest"))
+    return own.select("doc_id", "item_idx", T.restore_marker(F.col("rest"), F.col("marker"), F.lit(True)).alias("text"))
+
+
+@query("SELECT doc_id, count(*) AS children FROM (SELECT DISTINCT ON (chunk_id) chunk_id, doc_id FROM chunks WHERE kind = 'child') GROUP BY doc_id")
+def enrichment_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children that get a summary, by document."""
+    return answering.enrichment_targets(table(spark, sf_dir, "chunks")).groupBy("doc_id").agg(F.count("*").alias("children"))
+
+
+@query("SELECT kind, count(DISTINCT chunk_id) AS chunks, count(DISTINCT doc_id) AS documents FROM chunks GROUP BY kind")
+def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the index, once each: children and parents."""
+    chunks = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
+    both = chunks.where("kind = 'child'").unionByName(chunks.where("kind = 'parent'"))
+    return both.groupBy("kind").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+
+
+_NEW = """n AS (SELECT substr(sha1(doc_id || ':' || section_idx || ':' || block_idx), 1, 16) AS chunk_id, doc_id, 'block' AS origin FROM (SELECT DISTINCT doc_id, section_idx, block_idx FROM blocks WHERE doc_id IN (SELECT doc_id FROM r WHERE status = 'indexed')))"""
+
+
+@query(f"""WITH {_LATEST}, {_NEW}, c AS (SELECT DISTINCT chunk_id, doc_id, 'chunk' AS origin FROM chunks)
+SELECT chunk_id, doc_id, origin FROM c WHERE doc_id NOT IN (SELECT doc_id FROM n) AND chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT chunk_id, doc_id, origin FROM n""")
+def replaced_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after indexed documents were replaced as a whole by their blocks."""
+    indexed = registry.latest_states(table(spark, sf_dir, "registry")).where("status = 'indexed'").select("doc_id").distinct()
+    blocks = table(spark, sf_dir, "blocks").select("doc_id", "section_idx", "block_idx").distinct().join(indexed, "doc_id", "left_semi")
+    new = blocks.select(T.short_id(F.col("doc_id"), F.col("section_idx"), F.col("block_idx")).alias("chunk_id"), "doc_id", F.lit("block").alias("origin"))
+    old = table(spark, sf_dir, "chunks").select("chunk_id", "doc_id").distinct().withColumn("origin", F.lit("chunk"))
+    return registry.replace_by_document(old, new)
+
+
+@query(f"""WITH {_LATEST}, {_FOUND}, g AS (SELECT DISTINCT doc_id FROM r WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT content_hash FROM f)) SELECT doc_id, count(DISTINCT chunk_id) AS chunks FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM g) GROUP BY doc_id""")
+def after_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the index once documents that no path has any more are deleted, by document."""
+    known = registry.latest_states(table(spark, sf_dir, "registry")).where("doc_id is not null").select("doc_id").distinct()
+    gone = known.join(_found(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
+    left = registry.delete_documents(table(spark, sf_dir, "chunks").select("chunk_id", "doc_id").distinct(), gone)
+    return left.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
+# ---- prompts and model replies ----------------------------------------------------------------
+
+
+@query(corpus_sql.PROMPTS)
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message that asks the model, for every question with a context, by digest."""
+    asked = R.context(_retrieved(spark, sf_dir).blocks).join(_questions(spark, sf_dir), "query_id")
+    user = F.element_at(answering.messages(F.col("question"), F.col("context")), 2)["content"]
+    return asked.select("query_id", F.md5(user).alias("prompt_md5"))
+
+
+@query(corpus_sql.SOURCES)
+def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered sources of every context, with page label, score and snippet."""
+    rows = answering.source_list(_retrieved(spark, sf_dir).blocks).select("query_id", F.explode("sources").alias("s"))
+    return rows.select("query_id", "s.n", F.coalesce("s.section", F.lit("")).alias("section"), "s.pages", "s.score", F.md5("s.snippet").alias("snippet_md5"))
+
+
+@query(corpus_sql.CASE_OUTCOMES)
+def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation case through the search by words: hit and rank of its rule, or whether a refusal is right."""
+    cases = table(spark, sf_dir, "eval_cases")
+    found = _retrieved(spark, sf_dir)
+    return evaluate.case_outcomes(cases, found).select("case_id", "hit", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"), "refusal_correct", "top_score")
+
+
+_BODIES = "SELECT DISTINCT query_id, text, no_answer FROM answers WHERE text IS NOT NULL"
+
+
+@query(f"WITH a AS ({_BODIES}) SELECT query_id, CASE WHEN no_answer THEN '' ELSE text END AS text, CASE WHEN no_answer THEN 'refused' ELSE '' END AS error FROM a")
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response bodies made of the answers, read back: refusals as errors, all others as the first choice's content."""
+    a = table(spark, sf_dir, "answers").where("text is not null").select("query_id", "text", F.coalesce("no_answer", F.lit(False)).alias("no_answer")).distinct()
+    choice = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))
+    body = F.when(F.col("no_answer"), F.to_json(F.struct(F.struct(F.lit("refused").alias("message")).alias("error")))).otherwise(F.to_json(choice))
+    read = a.select("query_id", answering.completion(body).alias("c"))
+    return read.select("query_id", F.coalesce("c.text", F.lit("")).alias("text"), F.coalesce("c.error", F.lit("")).alias("error"))
+
+
+#: A delta that comes after the end of its stream and doesn't count.
+_LATE = 'data: {"choices":[{"delta":{"content":"late"}}]}'
+
+
+@query(r"SELECT query_id, md5(text) AS text_md5 FROM (SELECT DISTINCT query_id, text FROM answers WHERE length(text) > 0)")
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers cut into server-sent lines by words, read back and put together, by digest."""
+    a = table(spark, sf_dir, "answers").where("length(text) > 0").select("query_id", "text").distinct()
+    parts = a.select("query_id", F.posexplode(F.split("text", r"(?<=\s)(?=\S)")).alias("seq", "part"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("part").alias("content")).alias("delta"))).alias("choices")))
+    lines = parts.select("query_id", "seq", F.concat(F.lit("data: "), body).alias("line"))
+    ends = a.select("query_id", F.explode(F.array(F.lit(2**30), F.lit(2**30 + 1))).alias("seq")).withColumn("line", F.when(F.col("seq") == 2**30, "data: [DONE]").otherwise(_LATE))
+    read = answering.stream_deltas(lines.unionByName(ends))
+    joined = read.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "").alias("text"))
+    return joined.select("query_id", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {_RESULTS} SELECT result_id, faithfulness, relevance FROM c WHERE faithfulness BETWEEN 1 AND 5 AND relevance BETWEEN 1 AND 5")
+def judged_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks that a judge's reply holds as JSON within text."""
+    rows = table(spark, sf_dir, "case_results").dropDuplicates(["result_id"]).where("faithfulness is not null and relevance is not null")
+    reply = F.concat(F.lit("My marks: "), F.to_json(F.struct("faithfulness", "relevance")), F.lit(" — as asked."))
+    read = rows.select("result_id", T.judged(reply, "faithfulness").alias("faithfulness"), T.judged(reply, "relevance").alias("relevance"))
+    return read.where("faithfulness is not null and relevance is not null")
+
+
+@query(f"WITH {_RESULTS}, t AS (SELECT result_id, unnest(map_entries(timings)) AS e FROM c) SELECT result_id, e.key AS stage, CASE WHEN e.value >= 1000 THEN printf('%.1fs', e.value / 1000.0) ELSE e.value || 'ms' END AS took FROM t WHERE e.value IS NOT NULL")
+def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long every stage of a request took, as it is shown."""
+    rows = table(spark, sf_dir, "case_results").where("timings is not null").dropDuplicates(["result_id"]).select("result_id", F.explode("timings").alias("stage", "ms"))
+    return rows.where("ms is not null").select("result_id", "stage", T.format_duration(F.col("ms")).alias("took"))
+
+
+@query(f"WITH {_RESULTS} SELECT result_id, round(1 / (1 + exp(-top_score)), 6) AS score FROM c WHERE top_score IS NOT NULL")
+def unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best scores of results, as a reranker's logits, between 0 and 1."""
+    rows = table(spark, sf_dir, "case_results").dropDuplicates(["result_id"]).where("top_score is not null")
+    return rows.select("result_id", F.round(T.unit_score(F.col("top_score")), 6).alias("score"))
+
+
+@query(f"WITH {_RESULTS} SELECT result_id, CASE WHEN hit THEN 'up' ELSE 'down' END AS verdict, substr(coalesce(answer, ''), 1, 1000) AS answer, 'feedback' AS kind, strftime(run_at, '%Y-%m-%d') AS day FROM c WHERE hit IS NOT NULL AND run_at IS NOT NULL")
+def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and misses as feedback, with the day they are filed under."""
+    rows = table(spark, sf_dir, "case_results").dropDuplicates(["result_id"]).where("run_at is not null")
+    verdict = F.when(F.col("hit"), "up").when(~F.col("hit"), "down").otherwise("none")
+    events = traces.feedback(rows.select("result_id", verdict.alias("verdict"), F.coalesce("answer", F.lit("")).alias("answer"), F.col("run_at").alias("ts")))
+    return traces.with_day(events).select("result_id", "verdict", "answer", "kind", "day")
+
+
+@query(r"""WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE kind = 'child' AND text IS NOT NULL), w AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS w FROM c),
+t AS (SELECT chunk_id, w, 1 + ln(count(*)) AS weight FROM w GROUP BY ALL), s AS (SELECT chunk_id, ('0x' || substr(md5(w), 1, 8))::BIGINT >> 4 AS token, sum(weight) AS weight FROM t GROUP BY ALL)
+SELECT chunk_id, count(*) AS tokens, min(token) AS lowest, max(token) AS highest, round(sum(weight), 2) AS weights FROM s GROUP BY chunk_id""")
+def encoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse vectors of the children by the encoder that needs no model."""
+    rows = table(spark, sf_dir, "chunks").where("kind = 'child' and text is not null").select(F.col("chunk_id").alias("id"), "text").distinct()
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    done = encoding.encode(rows).where(F.size("indices") > 0)
+    return done.select(F.col("id").alias("chunk_id"), F.size("indices").cast("long").alias("tokens"), F.array_min("indices").cast("long").alias("lowest"), F.array_max("indices").cast("long").alias("highest"), F.round(total, 2).alias("weights"))

@@ -118,7 +118,15 @@ LEXICAL_SEARCH = f"WITH {LEXICAL} SELECT query_id, chunk_id, score, rank FROM fo
 RERANKED_SEARCH = f"WITH {RERANKED} SELECT query_id, chunk_id, rerank_score, rerank_rank FROM rr"
 RETRIEVAL_OUTCOME = f"WITH {RERANKED}, m AS (SELECT query_id, max(rerank_score) AS best FROM rr GROUP BY query_id) SELECT query_id, coalesce(best < 0.15, true) AS no_answer, coalesce(best, 0.0) AS top_score FROM q LEFT JOIN m USING (query_id)"
 CONTEXT_BLOCKS = f"WITH RECURSIVE {CONTEXT} SELECT query_id, block_key, block_no, score, matched_chunks, coalesce(page_start, -1) AS page_start, coalesce(page_end, -1) AS page_end FROM bb"
-CONTEXTS = f"""WITH RECURSIVE {CONTEXT}, ti AS (SELECT doc_id, max(title) AS title FROM parsed_docs GROUP BY doc_id),
+_CONTEXT_TEXT = f"""{CONTEXT}, ti AS (SELECT doc_id, max(title) AS title FROM parsed_docs GROUP BY doc_id),
 bc AS (SELECT query_id, block_no, '[' || block_no || '] ' || coalesce(title, '') || ' — ' || CASE WHEN len(section_path) > 0 THEN array_to_string(section_path, ' > ') ELSE coalesce(title, '') END || ' (' || CASE WHEN coalesce(page_start, 0) <> 0 THEN 'p.' || page_start ELSE '' END
-    || CASE WHEN coalesce(page_end, 0) <> 0 AND page_end IS DISTINCT FROM page_start THEN '-' || page_end ELSE '' END || ')' || chr(10) || coalesce(text, '') AS t FROM bb LEFT JOIN ti USING (doc_id))
-SELECT query_id, count(*) AS n_blocks, md5(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY block_no)) AS context_md5 FROM bc GROUP BY query_id"""
+    || CASE WHEN coalesce(page_end, 0) <> 0 AND page_end IS DISTINCT FROM page_start THEN '-' || page_end ELSE '' END || ')' || chr(10) || coalesce(text, '') AS t FROM bb LEFT JOIN ti USING (doc_id)),
+cx AS (SELECT query_id, count(*) AS n_blocks, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY block_no) AS context FROM bc GROUP BY query_id)"""
+CONTEXTS = f"WITH RECURSIVE {_CONTEXT_TEXT} SELECT query_id, n_blocks, md5(context) AS context_md5 FROM cx"
+PROMPTS = f"WITH RECURSIVE {_CONTEXT_TEXT} SELECT query_id, md5('Context:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question) AS prompt_md5 FROM cx JOIN q USING (query_id)"
+SOURCES = f"""WITH RECURSIVE {CONTEXT} SELECT query_id, block_no AS n, coalesce(array_to_string(section_path, ' > '), '') AS section, CASE WHEN coalesce(page_start, 0) <> 0 THEN 'p.' || page_start ELSE '' END
+    || CASE WHEN coalesce(page_end, 0) <> 0 AND page_end IS DISTINCT FROM page_start THEN '-' || page_end ELSE '' END AS pages, round_even(score, 3) AS score, md5(substr(text, 1, 600)) AS snippet_md5 FROM bb"""
+CASE_OUTCOMES = f"""WITH RECURSIVE {CONTEXT}, m AS (SELECT query_id, max(rerank_score) AS best FROM rr GROUP BY query_id), e AS (SELECT DISTINCT ON (case_id) * FROM eval_cases ORDER BY case_id),
+h AS (SELECT case_id, min(block_no) AS rank FROM e JOIN bb ON bb.query_id = e.case_id WHERE len(list_filter(section_path, lambda x: x = expect_rule OR starts_with(x, expect_rule || ':'))) > 0 GROUP BY case_id)
+SELECT case_id, CASE WHEN expect_rule IS NOT NULL AND NOT coalesce(expect_refusal, false) THEN h.rank IS NOT NULL END AS hit, CASE WHEN expect_rule IS NOT NULL AND NOT coalesce(expect_refusal, false) THEN coalesce(h.rank, 0) ELSE 0 END AS rank,
+CASE WHEN expect_refusal THEN coalesce(best < 0.15, true) END AS refusal_correct, coalesce(best, 0.0) AS top_score FROM e LEFT JOIN m ON m.query_id = e.case_id LEFT JOIN h USING (case_id)"""

@@ -30,9 +30,16 @@ def _latest_results(results: DataFrame) -> DataFrame:
 
 
 def metrics() -> list[Column]:
-    """Aggregates of a run: null where nothing applies; a missing rank counts as zero."""
+    """Aggregates of a run: null where nothing applies; a missing rank counts as zero.
+
+    Values are summed as decimals, so that a mean doesn't depend on the order of its rows.
+    """
     hit = F.col("hit").isNotNull()
-    mean = lambda c: F.round(F.avg(c) + 1e-9, 3)  # noqa: E731 — a mean just below a half, for the order of its sum, still rounds up
+
+    def mean(c: Column | str) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        return F.round(F.try_divide(F.sum(F.round(c.cast("double"), 9).cast("decimal(28,9)")).cast("double"), F.count(c)), 3)
+
     return [
         F.count("*").cast("double").alias("cases"),
         mean(F.when(hit, F.col("hit").cast("int"))).alias("hit_rate"),

@@ -67,3 +67,13 @@ def test_null_keys_are_keys(spark):
     rows = [("d", None, "one text", 0, 0), ("d", None, "one longer text", 0, 0), (None, 1, "x" * 100, 0, 0), (None, 1, "x" * 100, 0, 0)]
     packed = pack(spark.createDataFrame(rows, SCHEMA), ["doc", "idx"], 10).collect()
     assert sorted((str(r["doc"]), str(r["idx"]), r["piece"], r["char_end"]) for r in packed) == [("None", "1", 0, 40), ("None", "1", 1, 80), ("None", "1", 2, 100), ("d", "None", 0, 15)]
+
+
+def test_items_of_a_container_lie_near_each_other_on_the_curve(spark):
+    rng = np.random.default_rng(2)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(40)]
+    rows = [("d", i, " ".join(rng.choice(topics[i % 40], 24)), 0, 0) for i in range(4_000)]
+    packed = pack(spark.createDataFrame(rows, SCHEMA).repartition(1), ["doc", "idx"], 200).toPandas()
+    topic = packed["idx"] % 40
+    same = lambda boxes: topic.groupby(boxes).agg(lambda x: (x.value_counts() ** 2).sum() / len(x) ** 2).mean()  # noqa: E731 — share of pairs of one topic
+    assert same(packed["container"].to_numpy()) > 1.5 * same(rng.permutation(packed["container"].to_numpy()))
