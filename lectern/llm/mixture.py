@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,9 +41,9 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _counted(path: str):
+def _counted(name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(path)
+        encoding = _encoding(SparkFiles.get(name))
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": np.array([len(encoding.encode_ordinary(t)) for t in pdf["text"]], np.int64)})
 
@@ -57,10 +58,12 @@ def source_name(column: str):
 def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens, hash): sizes in tokens of the public tokenizer; repeated rows once.
 
-    Documents without text or source can have no share and are left out.
+    Documents without text or source can have no share and are left out. The vocabulary needs to lie
+    on the driver only: Spark hands it to the workers.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
     named = docs.select("doc_id", source_name("source").alias("source"), "text").where("doc_id is not null and source is not null and text is not null and text != ''")
-    sized = spread(named).mapInPandas(_counted(tokenizer), "doc_id long, source string, tokens long")
+    sized = spread(named).mapInPandas(_counted(os.path.basename(tokenizer)), "doc_id long, source string, tokens long")
     return sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("d")).select("doc_id", "d.source", "d.tokens", F.xxhash64("doc_id").alias("hash"))
 
 
