@@ -33,8 +33,8 @@ BUCKET = 8_192
 SAMPLE, ROUNDS = 20_000, 25
 #: Rows of a part of a bucket: buckets above four times that are divided, and each two parts meet.
 BLOCK = 8_192
-#: Rows whose cosines with a bucket are in memory at once.
-STRIP = 256
+#: Rows whose cosines with a bucket are in memory at once, and groups of columns whose maxima are looked at first.
+STRIP, GROUPS = 256, 512
 #: Copies up to this number (about 10 MB) are broadcast, more are joined by shuffle.
 HOT_ROWS = 200_000
 
@@ -142,17 +142,23 @@ def _code_type(bits: int) -> type:
 
 def _top(cos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k greatest of each row that are ``least`` or more."""
-    width = cos.shape[1]
-    floor = np.full(len(cos), np.float32(least))
-    if width >= 128 * k:
-        # the k-th greatest of the maxima of stretches is no greater than the k-th greatest of all
-        even = width // 64 * 64
-        maxima = cos[:, :even].reshape(len(cos), -1, 64).max(axis=2)
+    n, width = cos.shape
+    floor = np.full(n, np.float32(least))
+    even = width // GROUPS * GROUPS if width >= 4 * GROUPS and k <= GROUPS else 0
+    if even:
+        # the k-th greatest of the maxima of groups is no greater than the k-th greatest of all, so only
+        # groups whose maximum reaches it hold one of the k greatest
+        grouped = cos[:, :even].reshape(n, -1, GROUPS)
+        maxima = grouped.max(axis=1)
         floor = np.maximum(floor, np.partition(maxima, -k, axis=1)[:, -k])
-    row, col = np.nonzero(cos >= floor[:, None])
+        at, group = np.nonzero(maxima >= floor[:, None])
+        i, j = np.nonzero(grouped[at, :, group] >= floor[at][:, None])
+        row, col = at[i], j * GROUPS + group[i]
+    tail_row, tail_col = np.nonzero(cos[:, even:] >= floor[:, None])
+    row, col = (np.concatenate((row, tail_row)), np.concatenate((col, tail_col + even))) if even else (tail_row, tail_col)
     order = np.lexsort((col, -cos[row, col], row))
     row, col = row[order], col[order]
-    start = np.searchsorted(row, np.arange(len(cos)))
+    start = np.searchsorted(row, np.arange(n))
     keep = np.arange(len(row)) - start[row] < k
     return row[keep], col[keep]
 

@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 
-from lectern.operators.similar_vectors import latest_valid, pack, pairs_of, similar_vectors, unpack
+from lectern.operators.similar_vectors import _top, latest_valid, pack, pairs_of, similar_vectors, unpack
 
 SCHEMA = "id string, at timestamp, dense array<float>"
 
@@ -20,6 +20,16 @@ def test_packing_keeps_cosines(spark):
     assert np.abs(x @ x.T - back @ back.T).max() < 5e-4
 
 
+def test_the_greatest_of_each_row():
+    rng = np.random.default_rng(1)
+    for width in (3, 511, 2047, 2048, 2600, 5000):
+        cos = np.round(rng.normal(size=(40, width)), 2).astype(np.float32)  # many ties, which go to the lower column
+        for k, least in ((5, -9.0), (5, 2.5), (1, -9.0), (600, 0.0)):
+            row, col = _top(cos, k, least)
+            want = [(i, j) for i in range(40) for j in np.lexsort((np.arange(width), -cos[i]))[:k] if cos[i, j] >= least]
+            assert list(zip(row.tolist(), col.tolist(), strict=True)) == [(i, int(j)) for i, j in want]
+
+
 def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(120, 64))
