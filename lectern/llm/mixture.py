@@ -91,7 +91,8 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, repeats, below): whole repeats of a source, and the hash below which documents come once more.
 
     below is an unsigned position in BITS * LEVELS bits. Each level sums the tokens of one bucket
-    by its next BITS bits, before the shuffle; the result has a row a source.
+    by its next BITS bits, before the shuffle; the result has a row a source. A bucket of one document
+    needs no refinement: that document is the one that doesn't fit.
     """
     state = plan.select("source", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("long").alias("repeats"), "available", "budget", "max_repeats")
     state = state.withColumn("left", F.when(F.col("repeats") < F.col("max_repeats"), F.col("budget") - F.col("repeats") * F.col("available")).otherwise(0)).withColumn("prefix", F.lit(0).cast("long"))
@@ -100,15 +101,17 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     for level in range(1, LEVELS + 1):
         down = BITS * (LEVELS - level)
         inside = sized.select("source", "tokens", position.alias("at")).join(F.broadcast(state), "source").where(F.shiftright("at", down + BITS) == F.col("prefix"))  # state: a row a source
-        sums = inside.groupBy("source", F.shiftright("at", down).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+        sums = inside.groupBy("source", F.shiftright("at", down).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         running = sums.withColumn("upto", F.sum("tokens").over(upto)).join(F.broadcast(state), "source")  # at most 2 ** BITS rows a source
         fits = F.col("upto") <= F.col("left")
-        reached = running.groupBy("source").agg(F.max(F.when(fits, F.col("upto"))).alias("used"), F.max("bucket").alias("last"), F.min(F.when(~fits, F.col("bucket"))).alias("boundary"))
+        reached = running.groupBy("source").agg(F.max(F.when(fits, F.col("upto"))).alias("used"), F.max("bucket").alias("last"), F.min(F.when(~fits, F.struct("bucket", "n"))).alias("boundary"))
         joined = state.join(reached, "source", "left")
         first = F.shiftleft("prefix", BITS)
-        state = materialise(joined.select("source", "repeats", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.coalesce("boundary", F.col("last") + 1, first).alias("prefix")), "budgets")
-    return state.select("source", "repeats", F.col("prefix").alias("below"))
+        state = materialise(joined.select("source", "repeats", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.coalesce("boundary.bucket", F.col("last") + 1, first).alias("prefix"), F.coalesce(F.col("boundary.n") > 1, F.lit(False)).alias("open")), "budgets")
+        if state.where("open").isEmpty():
+            break
+    return state.select("source", "repeats", F.shiftleft("prefix", down).alias("below"))
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -99,3 +100,56 @@ def test_headings_and_labels_that_recur_are_kept():
 def test_long_lines_and_odd_tokens(spark):
     rows = [*corpus(), ("x", "word " * 50_000 + "\n" + "y" * 100_000, None, "p"), ("y", "-\n-\n­\n| a |\n|", "", "")]
     assert S.defects(spark.createDataFrame(rows, DOCS)).where("doc_id = 'y'").count() == 0
+
+
+def scanned(paragraphs, rng, title, office):
+    """The paragraphs as pages of a scan: wrapped, broken at line ends, with heads, feet and page numbers."""
+    lines, page, n = [], 1, 0
+    for p in paragraphs:
+        line = ""
+        for word in p.split():
+            while word:
+                if len(line) + len(word) + 1 <= 58:
+                    line, word = f"{line} {word}".strip(), ""
+                elif len(word) > 6 and "-" not in word and len(line) < 52:
+                    lines.append(f"{line} {word[:3]}-")
+                    line, word = "", word[3:]
+                    n += 1
+                else:
+                    lines.append(line)
+                    line = ""
+                    n += 1
+                if n >= 24:  # a page ends in the middle of the paragraph
+                    n = 0
+                    lines += [f"{title}   {page}" if page % 2 else f"{page}   {office}", "", f"copy of the {office.lower()}, sheet {page + 40}"]
+                    page += 1
+        lines += [line, ""]
+        n += 2
+    return "\n".join(lines)
+
+
+def test_clean_texts_come_back(spark):
+    rng = random.Random(11)
+    sentence = lambda: " ".join([rng.choice(WORDS).capitalize(), *(rng.choice(WORDS) for _ in range(rng.randint(6, 14)))]) + "."
+    clean = {f"s{d:02}": [" ".join(sentence() for _ in range(rng.randint(3, 9))) for _ in range(12)] for d in range(30)}
+    rows = [*corpus(), *((d, scanned(ps, rng, f"Guide to Quay {d}", f"Office {d}"), None, None) for d, ps in clean.items())]
+    got = {r["doc_id"]: r["markdown"].split("\n\n") for r in S.repair(spark.createDataFrame(rows, DOCS)).collect()}
+    same = sum(p in got[d] for d, ps in clean.items() for p in ps)
+    assert same / sum(map(len, clean.values())) >= 0.98
+    assert sum(len(got[d]) for d in clean) <= 1.03 * sum(map(len, clean.values()))
+
+
+def test_repair_changes_nothing_but_what_was_found(spark, data):
+    docs = spark.read.parquet(f"{data}/parsed_docs.parquet").select("doc_id", "markdown", "title", "source_path")
+    found = {}
+    for r in S.defects(docs).collect():
+        found.setdefault(r["doc_id"], []).append((r["line_no"], r["defect"]))
+    before = {r["doc_id"]: r["markdown"] for r in docs.where("markdown is not null").collect()}
+    for r in S.repair(docs).collect():
+        own = found.get(r["doc_id"], [])
+        furniture = {n for n, d in own if d == "furniture"}
+        assert r["boilerplate_lines_removed"] == len(furniture)
+        kept = " ".join(line for i, line in enumerate(before[r["doc_id"]].split("\n"), 1) if i not in furniture).split()
+        changed = Counter(kept)
+        changed.subtract(r["markdown"].split())
+        assert sum(abs(n) for n in changed.values()) <= 4 * sum(d != "furniture" for _, d in own) + 2
