@@ -30,9 +30,11 @@ from lectern.tables import materialise, spread
 #: A word is a dictionary word if it makes up this share of all words, and occurs this often.
 #: By the share there are at most 500,000 of them, whatever the size of the corpus.
 SHARE, LEAST = 2e-6, 5
-#: A correction must be this many times as frequent as the form that it replaces; the second number
-#: holds for forms of letters alone that occur more than twice, since they may be words themselves.
+#: A correction must be this many times as frequent as the form that it replaces. A form of letters alone may
+#: be a word itself: it must be rarer by the second number, or stand at the places of the correction.
 RATIO, LETTERS_RATIO = 20, 200
+#: Share of the places of a form of letters alone at which the word is known beside both neighbours.
+PLACES = 0.5
 #: Highest weighted edit distance of a correction: less than two confusions of single letters, which is how typing errors look.
 COST = 0.8
 #: Repeated rows up to this number (about 3 MB) are broadcast when they are left out, more are joined by shuffle.
@@ -153,7 +155,8 @@ def furniture(lines: list[str], title: str | None) -> list[bool]:
         numbers = _numbers([text[i] for i in at])
         if len(at) >= 3 and numbers != "free" and (marked or (gaps[0] >= 5 and gaps[-1] <= 3 * gaps[len(gaps) // 2])):
             return min(len(before), len(after)) > 1 or marked > 0
-        return marked * 2 >= len(at) or (numbers == "count" and len(wording) >= 12 and marked > 0)
+        apart = all("  " in text[i] for i in at)  # the number is set apart from the rest, as page numbers are
+        return marked * 2 >= len(at) or (numbers == "count" and (apart or (len(wording) >= 12 and marked > 0)))
 
     groups = {w: at for w, at in groups.items() if len(w) >= 3 or len(at) == 1}
     many = {w: at for w, at in groups.items() if len(at) >= 2}
@@ -169,12 +172,12 @@ def furniture(lines: list[str], title: str | None) -> list[bool]:
             t = text[i]
             if out[i] or (len(t) > narrow and not t[0].isupper() and not t[0].isdigit()):
                 continue
-            head = _is_head(t)
+            head, numbered = _is_head(t), t[0].isdigit() and "  " in t  # a page number set apart
             titled = head and name and _like(_plain(_TRIM.sub("", _TRIM.sub("", t))), name)
             if titled or any(abs(len(r) - len(wording)) <= 3 and r[:1] == wording[:1] and _like(wording, r) for r in recurring):
                 out[i] = True
             elif len(t) <= narrow:
-                out[i] = (head and beside(i)) or ((head or t[-1].isdigit()) and t[0].isupper() and cuts(i))
+                out[i] = (head and beside(i)) or ((head or t[-1].isdigit() or numbered) and (t[0].isupper() or numbered) and cuts(i))
     return out
 
 
@@ -378,8 +381,7 @@ def corrections(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = odd.select("form", "n").mapInPandas(_keyed, "form string, n long, key string")
     right = words.select(F.col("form"), F.col("n")).mapInPandas(_keyed, "form string, n long, key string").select(F.col("form").alias("word"), F.col("n").alias("word_n"), "key")
     pairs = left.join(right, "key").where((F.col("form") != F.col("word")) & (F.col("word_n") >= RATIO * F.greatest("n", F.lit(1))) & (F.levenshtein("form", "word", 4) >= 0))
-    signs = F.col("form").rlike(r"[^\p{L}\p{M}]")
-    pairs = pairs.where(signs | (F.col("n") <= 2) | (F.col("word_n") >= LETTERS_RATIO * F.col("n"))).select("form", "word", "n", "word_n").distinct()
+    pairs = pairs.select("form", "word", "n", "word_n").distinct()
     return materialise(pairs.mapInPandas(_distances, "form string, word string, n long, word_n long, cost double"), "corrections"), words.select("form", "n")
 
 
@@ -463,6 +465,13 @@ def find(docs: DataFrame) -> Found:
     support = F.coalesce("before_n", none) + F.coalesce("after_n", none)
     strange = F.col("form").rlike(r"[^\p{L}]|[^a-zà-ÿœß]")
     fits = (F.length("form") >= SHORT) | strange | (support > 0)
+    # a form of letters alone may be a word: it must be far rarer, or stand where the word stands
+    signs = F.col("form").rlike(r"[^\p{L}\p{M}]")
+    at = materialise(at, "candidates")
+    # what is no word beside it, such as a number, speaks neither for nor against
+    both = ((F.col("before") == "") | (F.coalesce("before_n", none) > 0)) & ((F.col("after") == "") | (F.coalesce("after_n", none) > 0)) & (support > 0)
+    alike = at.where(~signs & (F.col("word_n") < LETTERS_RATIO * F.col("n"))).groupBy("form", "word").agg(F.avg(both.cast("int")).alias("share")).where(F.col("share") >= PLACES).select("form", "word", F.lit(True).alias("placed"))
+    at = at.join(alike, ["form", "word"], "left").where(signs | (F.col("word_n") >= LETTERS_RATIO * F.col("n")) | F.col("placed"))
     picked = at.where(fits).groupBy("doc_id", "line_no", "form", "before", "after", "cut", "next_line").agg(
         F.max_by(F.struct("word", "cost", "n", "word_n", support.alias("support")), F.struct(-F.round(F.col("cost") - 0.1 * F.log10(1 + support), 3), "word_n", "word")).alias("c")
     )
