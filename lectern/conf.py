@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
 
@@ -30,6 +33,19 @@ class Settings:
             raise ValueError(f"no such setting: {', '.join(sorted(unknown))}")
         return replace(self, **values)
 
+    @classmethod
+    def load(cls, path: str | None = None, environment: Mapping[str, str] = os.environ) -> Settings:
+        """The defaults, overridden by a JSON file and then by variables such as LECTERN_TARGET_TOKENS."""
+        values = {}
+        if path is not None:
+            with open(path, encoding="utf-8") as file:
+                values = json.load(file)
+        for f in fields(cls):
+            given = environment.get(f"LECTERN_{f.name.upper()}")
+            if given is not None:
+                values[f.name] = type(f.default)(given)
+        return cls().override(**values)
+
     def fingerprint(self) -> str:
         """Identifies the settings that decide what an index holds."""
         from hashlib import sha256

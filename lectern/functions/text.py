@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -14,8 +15,6 @@ from pyspark.sql.types import StringType
 GLYPHS = ("‖―‗", '"-_')
 #: Curly quotes and their straight forms.
 QUOTES = ("‘’‚‛“”„‟", "''''\"\"\"\"")
-#: UTF-8 text that was read as Windows-1252, by the sequences it leaves most often.
-MOJIBAKE = {"â€™": "'", "â€˜": "'", "â€œ": '"', "â€\u009d": '"', "â€“": "–", "â€”": "—", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Â ": " "}
 #: A line of a table of contents: a dot leader and a number.
 CONTENTS_LINE = r"\.{4,}\s*\d+\s*$"
 #: The number of a rule that a text begins with.
@@ -29,17 +28,41 @@ CITATION = r"\[(\d+)\]"
 # -------------------------------------------------------------------------------------------
 
 
+#: What a character of UTF-8 looks like that was read as Windows-1252: a lead byte and the bytes that follow it.
+_MISREAD = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
+
+
+def _byte(char: str) -> bytes:
+    try:
+        return char.encode("cp1252")
+    except UnicodeEncodeError:  # the five bytes that Windows-1252 leaves open are read as themselves
+        return char.encode("latin-1")
+
+
+def _reread(match: re.Match) -> str:
+    """A misread character put right; the text as it is where its bytes are no character, or one that texts don't have."""
+    text = match.group(0)
+    for n in range(len(text), 1, -1):
+        try:
+            right = b"".join(map(_byte, text[:n])).decode("utf-8")
+        except UnicodeError:
+            continue
+        if all(c < "\u0250" or "\u2000" <= c <= "\u2122" for c in right):
+            return right + _MISREAD.sub(_reread, text[n:])
+    return text
+
+
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which Spark has no function for."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def repair_unicode(text: pd.Series) -> pd.Series:
+    """Misread UTF-8 and curly quotes put right, then Unicode's compatibility composition; Spark has no function for these."""
+    quotes = str.maketrans(*QUOTES)
 
+    def one(t: str | None) -> str | None:
+        if t is None or t.isascii():
+            return t
+        return unicodedata.normalize("NFKC", _MISREAD.sub(_reread, t).translate(quotes))
 
-def repair_unicode(text: Column) -> Column:
-    """Frequent mojibake and quotes put right, then NFKC."""
-    for wrong, right in MOJIBAKE.items():
-        text = F.replace(text, F.lit(wrong), F.lit(right))
-    return nfkc(F.translate(text, *QUOTES))
+    return text.map(one)
 
 
 def map_glyphs(text: Column) -> Column:

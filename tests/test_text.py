@@ -89,3 +89,23 @@ def test_identities_markers_and_scores(spark):
 
     assert row["i"] == hashlib.sha1(b"d:0:").hexdigest()[:16]
     assert (row["r"], row["s"], row["c"]) == ("3. x", 0.5, hashlib.sha256(b"d").hexdigest()[:16])
+
+
+def test_misread_utf8_is_put_right_whatever_the_character(spark):
+    good = "Großes Café, 20 €, naïve Œuvre — “señor’s” … Ørsted, ½ Ÿ"
+    wrong = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in good.encode("utf-8"))
+    fine = ["Straße’s", "É’", "Â", "Ça va", "ÀÉ", "naïve", "x â€", None, "plain"]
+    rows = spark.createDataFrame([(0, wrong), *enumerate(fine, 1)], "i int, t string")
+    got = {r["i"]: r["t"] for r in rows.select("i", T.repair_unicode(F.col("t")).alias("t")).collect()}
+    want = spark.createDataFrame([(0, good)], "i int, t string").select(T.repair_unicode(F.col("t")).alias("t")).first()["t"]
+    assert got[0] == want
+    assert [got[i] for i in range(1, len(fine) + 1)] == [t and t.replace("’", "'") for t in fine]
+
+
+def test_settings_come_from_a_file_and_the_environment(tmp_path):
+    from lectern.conf import Settings
+
+    (tmp_path / "c.json").write_text('{"target_tokens": 300, "score_floor": 0.2}')
+    own = Settings.load(str(tmp_path / "c.json"), {"LECTERN_TARGET_TOKENS": "200", "LECTERN_NO_ANSWER_TEXT": "none", "OTHER": "1"})
+    assert (own.target_tokens, own.score_floor, own.no_answer_text, own.max_tokens) == (200, 0.2, "none", 1024)
+    assert Settings.load(None, {}) == Settings()
