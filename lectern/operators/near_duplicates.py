@@ -34,6 +34,8 @@ WORDS = BANDS * ROWS * BITS // 64
 PART = 4_096
 #: Vantage points whose distances bound the comparisons of a task, cells below this size apart.
 VANTAGES, SMALL = 2, 32
+#: Pairs that a task holds before it hands them on.
+FLUSH = 500_000
 #: Hot shards and rings up to this number (about 10 MB) are broadcast to their rows.
 BROADCAST_SHARDS = 100_000
 #: Candidate records up to this number (about 30 MB) are broadcast when their texts are read again.
@@ -158,15 +160,17 @@ def _close(limit: int):
             i = np.flatnonzero(small[:-step] & (cell[step:] == cell[:-step]))
             i = i[_far(prints[i], prints[i + step]) <= limit] if len(i) else i
             found.append((i, i + step))
+        held = 0
         for c in np.flatnonzero((size > SMALL) | two):
             at = np.arange(edges[c], edges[c + 1])
             left = at[side[at] % 2 == 0]
             right = at[side[at] == 3] if two[c] else left
-            if len(left) and len(right):
-                found += _within(prints, left, right, limit)
-            if sum(len(a) for a, _ in found) > 1_000_000:
-                yield frame(found, ids, kind)
-                found = []
+            for pair in _within(prints, left, right, limit) if len(left) and len(right) else ():
+                found.append(pair)
+                held += len(pair[0])
+                if held > FLUSH:
+                    yield frame(found, ids, kind)
+                    found, held = [], 0
         if found:
             yield frame(found, ids, kind)
 

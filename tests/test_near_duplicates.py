@@ -56,6 +56,7 @@ def test_equals_brute_force_with_edits_and_a_hot_group(spark, run, threshold):
 def test_a_hot_shard_is_divided_without_loss(spark, monkeypatch, part, small):
     monkeypatch.setattr(module, "PART", part)
     monkeypatch.setattr(module, "SMALL", small)
+    monkeypatch.setattr(module, "FLUSH", 50)
     rng = random.Random(3)
     base = [f"w{rng.randrange(500)}" for _ in range(90)]
     rows = []
