@@ -76,6 +76,7 @@ def is_copy(question: str | None, answer: str | None) -> bool:
     return sum(extra.values()) <= 4 and len(set(a) & set(q)) >= 0.8 * len(set(q))
 
 
+@cache
 def _letters() -> np.ndarray:
     """Number of every code point of the basic plane: 0 for what is no letter, a to z, and the rest by remainder."""
     out = np.zeros(1 << 16, np.int32)
@@ -85,18 +86,13 @@ def _letters() -> np.ndarray:
     return out
 
 
-@cache
-def _numbers_of_letters() -> np.ndarray:
-    return _letters()
-
-
 def _triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code of every three characters in a row, text of each); runs of what is no letter count as one."""
     joined = "\n\n".join(texts) + "\n\n"
     points = np.minimum(np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
     if len(points) != len(joined):  # a letter whose lower case is longer
         return _triples([t.casefold().lower().encode("ascii", "ignore").decode() for t in texts])
-    letter = _numbers_of_letters()[points]
+    letter = _letters()[points]
     text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     keep = np.ones(len(letter), bool)
     keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0)
@@ -153,7 +149,8 @@ def learn_languages(texts: DataFrame, limit: int = LABELLED) -> Languages:
     named = texts.select(F.col("text").alias("text"), name.alias("lang")).where("text is not null and lang != ''")
     total = named.count()
     chosen = named if total <= limit else named.where(F.pmod(F.xxhash64("text"), F.lit(total)) < limit)
-    counted = chosen.mapInPandas(_count_triples, "lang string, code int, n long, texts long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
+    # copies of a text share a hash: they count once, however many there are
+    counted = chosen.dropDuplicates(["text", "lang"]).mapInPandas(_count_triples, "lang string, code int, n long, texts long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
     sizes = counted.groupby("lang")["texts"].sum() if len(counted) else {}
     names = sorted(k for k in dict(sizes) if sizes[k] >= max(LANGUAGE_TEXTS, 0.002 * sum(sizes)))
     counts = np.zeros((len(names), LETTERS**3))
