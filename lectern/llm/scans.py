@@ -8,7 +8,8 @@ again page after page, cuts sentences in two, counts pages or stands beside a pa
 at line ends are joined where the lexicon knows the whole word rather than the compound.
 
 Texts are tokenised once. The tokens are written as numbers into a dictionary of their chunk of
-documents; the lexicon and the search for odd words both read that table.
+documents; the lexicon and the search for odd words both read that table. What a task holds of it at
+once, in the JVM and in Python, doesn't depend on the size of the task.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.tables import materialise, spread
+from lectern.tables import materialise, small_batches, spread
 
 #: A word is a dictionary word if it makes up this share of all words, and occurs this often.
 #: By the share there are at most 500,000 of them, whatever the size of the corpus.
@@ -41,6 +45,10 @@ COST = 0.8
 REPEATS = 300_000
 #: Shortest form that is corrected; shorter than SHORT only with a sign that no word has, or next to a known pair.
 MIN_LENGTH, SHORT = 2, 5
+#: Characters of a chunk of documents; and word pairs, different words and rows that a task counts or hands on at once.
+CHUNK, HELD, WORDS, ROWS = 500_000, 2_000_000, 200_000, 50_000
+#: Row groups of few chunks: a reader unpacks up to 4,096 rows of one group at once, and a writer keeps its group in memory.
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 # ---- fixed values -------------------------------------------------------------------------
 #: Characters that recognition puts for a letter.
@@ -193,23 +201,37 @@ def _form(token: str) -> str:
     return form.lower()
 
 
-def _chunks(batches: Iterator[pd.DataFrame], chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    """Batches of at most about ``chars`` characters, so that memory doesn't depend on text lengths."""
-    for pdf in batches:
-        size = pdf["markdown"].str.len().fillna(0).cumsum() // chars
-        for _, part in pdf.groupby(size, sort=False):
-            yield part.reset_index(drop=True)
+_cached_form = lru_cache(1 << 16)(_form)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of at most about CHUNK characters, one text more at most, so that memory doesn't depend on the size of batches."""
+    part, size = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in columns), strict=True):
+            part.append(tuple(x.as_py() for x in row))
+            size += len(part[-1][1] or "")
+            if size >= CHUNK:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
 
 
-TOKENS = "docs array<string>, forms array<string>, codes binary, line binary, doc binary, furniture binary, breaks binary, left array<string>, right array<string>, soft binary"
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per chunk of documents: tokens as codes into the chunk's forms, furniture lines, and words broken at line ends."""
-    for pdf in _chunks(batches):
+TOKENS = "docs array<string>, forms string, codes binary, lines binary, furniture binary, breaks binary, left string, right string, soft binary"
+_TOKENS = pa.schema([(c, pa.list_(pa.string()) if kind == "array<string>" else pa.string() if kind == "string" else pa.binary()) for c, kind in map(str.split, TOKENS.split(", "))])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk of documents: tokens as codes into the chunk's forms, the lines they stand on, furniture lines, and words broken at line ends."""
+    for part in _chunks(batches, ("doc_id", "markdown", "title")):
         tokens: list[str] = []
-        lines_of, sizes, docs_of, odd_lines, breaks, left, right, soft = [], [], [], [], [], [], [], []
-        for d, (md, title) in enumerate(zip(pdf["markdown"], pdf["title"], strict=True)):
+        sizes, odd_lines, breaks, left, right, soft = [], [], [], [], [], []
+        for d, (_, md, title) in enumerate(part):
             lines = (md or "").split("\n")
             odd = furniture(lines, title)
             odd_lines += [(d, i + 1) for i, f in enumerate(odd) if f]
@@ -229,81 +251,101 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         soft.append(carry[2] not in "-‐")
                     carry = None
                 tokens += own
-                lines_of.append(i + 1)
-                sizes.append(len(own))
-                docs_of.append(d)
+                sizes.append((i + 1, d, len(own)))
                 mark = own[-1][-1]
                 end = _BREAK.search(line) if mark in HYPHENS else None
                 if end:
                     carry = (i, end.group(1), mark)
         codes, unique = pd.factorize(np.array(tokens, dtype=object)) if tokens else (np.empty(0, np.int64), ())
-        rows = [pdf["doc_id"].tolist(), [_form(t) for t in unique], codes.astype(np.int32).tobytes()]
-        rows += [np.repeat(np.array(x, np.int32), sizes).tobytes() for x in (lines_of, docs_of)]
-        rows += [np.array(x, np.int32).tobytes() for x in (odd_lines, breaks)]
-        yield pd.DataFrame([[*rows, left, right, np.array(soft, bool).tobytes()]], columns=[c.split()[0] for c in TOKENS.split(", ")])
+        row = [[d for d, _, _ in part], "\n".join(_cached_form(t) if len(t) <= 40 else _form(t) for t in unique), codes.astype(np.int32).tobytes()]  # tokens hold no line ends
+        row += [np.array(x, np.int32).tobytes() for x in (sizes, odd_lines, breaks)]
+        row += ["\n".join(left), "\n".join(right), np.array(soft, bool).tobytes()]
+        yield _batch([tuple(row)], _TOKENS)
 
 
 class _Page:
     """The tokens of one chunk of documents as flat arrays."""
 
-    def __init__(self, row) -> None:
-        array = lambda x, *shape: np.frombuffer(x, np.int32).reshape(*shape)
-        self.ids, self.forms = np.array(row.docs, dtype=object), np.array(row.forms, dtype=object)
-        self.codes, self.line, self.doc = array(row.codes, -1), array(row.line, -1), array(row.doc, -1)
-        self.furniture, self.breaks = array(row.furniture, -1, 2), array(row.breaks, -1, 4)
-        self.left, self.right, self.soft = list(row.left), list(row.right), np.frombuffer(row.soft, bool)
+    def __init__(self, batch: pa.RecordBatch, row: int) -> None:
+        array = lambda c, *shape: np.frombuffer(batch.column(c)[row].as_buffer(), np.int32).reshape(*shape)
+        listed = lambda c, some: batch.column(c)[row].as_py().split("\n") if some else []
+        self.codes, lines = array("codes", -1), array("lines", -1, 3)
+        self.furniture, self.breaks = array("furniture", -1, 2), array("breaks", -1, 4)
+        self.line, self.doc = np.repeat(lines[:, 0], lines[:, 2]), np.repeat(lines[:, 1], lines[:, 2])
+        self.ids, self.forms = batch.column("docs")[row].as_py(), np.array(listed("forms", len(self.codes)), dtype=object)
+        self.left, self.right = listed("left", len(self.breaks)), listed("right", len(self.breaks))
+        self.soft = np.frombuffer(batch.column("soft")[row].as_buffer(), bool)
         self.broken = np.zeros(len(self.codes), bool)
         self.broken[self.breaks[:, 3]] = True
         self.broken[self.breaks[:, 3] + 1] = True
 
 
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[_Page]:
+    return (_Page(batch, row) for batch in batches for row in range(batch.num_rows))
+
+
+def _kept(df: DataFrame, label: str, options: dict[str, int] | None = None) -> DataFrame:
+    """``materialise`` with small batches for the workers."""
+    with small_batches(df.sparkSession):
+        return materialise(df, label, options)
+
+
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return W.mix(a * np.uint64(31) + W.mix(b))
 
 
-def _lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_COUNTS = pa.schema([("kind", pa.string()), ("form", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
+
+
+def _counts(kind: str, forms: list[str] | None, pairs: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(n), ROWS):
+        size = len(n[i : i + ROWS])
+        form = pa.repeat("", size) if forms is None else pa.array(forms[i : i + ROWS], pa.string())
+        pair = np.zeros(size, np.int64) if pairs is None else pairs[i : i + ROWS]
+        yield pa.RecordBatch.from_arrays([pa.repeat(kind, size), form, pa.array(pair), pa.array(n[i : i + ROWS], pa.int64())], schema=_COUNTS)
+
+
+def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of forms (kind f), compounds and parts alike, of joined line breaks (j) and of word pairs (b), added up first."""
     seen: Counter[str] = Counter()
     joined: Counter[str] = Counter()
     held: list[np.ndarray] = []
 
-    def pairs() -> pd.DataFrame:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pd.DataFrame({"kind": "b", "form": "", "pair": keys, "n": counts})
-
-    for pdf in batches:
-        for page in map(_Page, pdf.itertuples(index=False)):
-            n = np.bincount(page.codes[~page.broken], minlength=len(page.forms))
-            for form, k in zip(page.forms, n.tolist(), strict=True):
-                if form and k:
-                    seen[form] += k
-                    if not form.isalnum():
-                        for part in _PARTS.split(form):
-                            if part != form and part:
-                                seen[part] += k
-            joined.update(a + b for a, b in zip(page.left, page.right, strict=True))
-            if not len(page.codes):
-                continue
+    def out(least: int, pairs: int) -> Iterator[pa.RecordBatch]:
+        """Hands on the counts of at least so many words, or of so many pairs."""
+        if sum(map(len, held)) >= pairs:
+            flat = np.concatenate(held)
+            held.clear()
+            flat.sort()
+            starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            yield from _counts("b", None, flat[starts], np.diff(starts, append=len(flat)))
+        for kind, counted in (("f", seen), ("j", joined)):
+            if len(counted) >= least:
+                yield from _counts(kind, list(counted), None, np.array(list(counted.values()), np.int64))
+                counted.clear()
+
+    for page in _pages(batches):
+        n = np.bincount(page.codes[~page.broken], minlength=len(page.forms))
+        for form, k in zip(page.forms, n.tolist(), strict=True):
+            if form and k:
+                seen[form] += k
+                if not form.isalnum():
+                    for part in _PARTS.split(form):
+                        if part != form and part:
+                            seen[part] += k
+        joined.update(a + b for a, b in zip(page.left, page.right, strict=True))
+        if len(page.codes):
             h, ok = pd.util.hash_array(page.forms, categorize=False)[page.codes], (page.forms != "")[page.codes] & ~page.broken
             good = ok[1:] & ok[:-1] & (page.doc[1:] == page.doc[:-1])
             held.append(_pair_hash(h[:-1][good], h[1:][good]).view(np.int64))
-            if sum(map(len, held)) > 4_000_000:
-                yield pairs()
-            if len(seen) > 1_000_000:
-                yield pd.DataFrame({"kind": "f", "form": list(seen), "pair": 0, "n": list(seen.values())})
-                seen = Counter()
-    if held:
-        yield pairs()
-    for kind, counted in (("f", seen), ("j", joined)):
-        if counted:
-            yield pd.DataFrame({"kind": kind, "form": list(counted), "pair": 0, "n": list(counted.values())})
+        yield from out(WORDS, HELD)
+    yield from out(1, 1)
 
 
 def lexicon(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(form, n, joined) and (pair, n) over all texts."""
-    counts = tokens.mapInPandas(_lexicon, "kind string, form string, pair long, n long")
-    counts = materialise(counts.groupBy("kind", "form", "pair").agg(F.sum("n").alias("n")), "counts")
+    counts = tokens.mapInArrow(_lexicon, "kind string, form string, pair long, n long")
+    counts = _kept(counts.groupBy("kind", "form", "pair").agg(F.sum("n").alias("n")), "counts")
     n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     forms = counts.where("kind != 'b'").groupBy("form").agg(n("f").alias("n"), n("j").alias("joined"))
     return forms, counts.where("kind = 'b'").select("pair", "n")
@@ -382,26 +424,33 @@ def corrections(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = words.select(F.col("form"), F.col("n")).mapInPandas(_keyed, "form string, n long, key string").select(F.col("form").alias("word"), F.col("n").alias("word_n"), "key")
     pairs = left.join(right, "key").where((F.col("form") != F.col("word")) & (F.col("word_n") >= RATIO * F.greatest("n", F.lit(1))) & (F.levenshtein("form", "word", 4) >= 0))
     pairs = pairs.select("form", "word", "n", "word_n").distinct()
-    return materialise(pairs.mapInPandas(_distances, "form string, word string, n long, word_n long, cost double"), "corrections"), words.select("form", "n")
+    return _kept(pairs.mapInPandas(_distances, "form string, word string, n long, word_n long, cost double"), "corrections"), words.select("form", "n")
+
+
+_EVENTS = pa.schema([(c, pa.int32() if c in ("line_no", "next_line") else pa.string()) for c in ("doc_id", "line_no", "kind", "form", "rest", "before", "after", "next_line")])
 
 
 def _events(known: frozenset[str]):
-    """mapInPandas function: furniture lines, broken words and words outside ``known``, with their neighbours."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for page in map(_Page, pdf.itertuples(index=False)):
-                last = len(page.codes) - 1
-                form_at = lambda t: page.forms[page.codes[t]] if 0 <= t <= last else ""  # noqa: B023, E731
-                rows = [(page.ids[d], i, "furniture", "", "", "", "", 0) for d, i in page.furniture.tolist()]
-                for (d, i, j, a), left, right, soft in zip(page.breaks.tolist(), page.left, page.right, page.soft.tolist(), strict=True):
-                    rows.append((page.ids[d], i, "soft" if soft else "break", left, right, form_at(a - 1), form_at(a + 2), j))
-                strange = np.array([bool(f) and f not in known for f in page.forms], bool)
-                for t in np.flatnonzero(strange[page.codes] & ~page.broken).tolist() if last >= 0 else ():
-                    form = form_at(t)
-                    parts = [p for p in _PARTS.split(form) if p and p not in known] if not form.isalnum() else [form]
-                    rows += [(page.ids[page.doc[t]], page.line[t], "word", p, form, form_at(t - 1), form_at(t + 1), 0) for p in parts]
-                yield pd.DataFrame(rows, columns=["doc_id", "line_no", "kind", "form", "rest", "before", "after", "next_line"])
+    """mapInArrow function: furniture lines, broken words and words outside ``known``, with their neighbours."""
+
+    def of(page: _Page) -> Iterator[tuple]:
+        last = len(page.codes) - 1
+        # a neighbour is one of the same document: which documents share a chunk changes no result
+        form_at = lambda t, d: page.forms[page.codes[t]] if 0 <= t <= last and page.doc[t] == d else ""
+        yield from ((page.ids[d], i, "furniture", "", "", "", "", 0) for d, i in page.furniture.tolist())
+        for (d, i, j, a), left, right, soft in zip(page.breaks.tolist(), page.left, page.right, page.soft.tolist(), strict=True):
+            yield page.ids[d], i, "soft" if soft else "break", left, right, form_at(a - 1, d), form_at(a + 2, d), j
+        strange = np.array([bool(f) and f not in known for f in page.forms], bool)
+        for t in np.flatnonzero(strange[page.codes] & ~page.broken).tolist() if last >= 0 else ():
+            form, d = page.forms[page.codes[t]], page.doc[t]
+            parts = [p for p in _PARTS.split(form) if p and p not in known] if not form.isalnum() else [form]
+            yield from ((page.ids[d], int(page.line[t]), "word", p, form, form_at(t - 1, d), form_at(t + 1, d), 0) for p in parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in _pages(batches):
+            rows = of(page)
+            while part := list(islice(rows, ROWS)):
+                yield _batch(part, _EVENTS)
 
     return run
 
@@ -437,12 +486,12 @@ def find(docs: DataFrame) -> Found:
     Of rows with the same doc_id the first counts; null or empty texts give no findings.
     """
     docs = spread(once(docs.select("doc_id", "markdown", "title").where(F.col("markdown").isNotNull())))
-    tokens = materialise(docs.mapInPandas(_tokens, TOKENS), "tokens")
+    tokens = _kept(docs.mapInArrow(_tokens, TOKENS), "tokens", SMALL_GROUPS)
     forms, pairs = lexicon(tokens)
     proposed, words = corrections(forms)
     stop = words.join(proposed.select("form").distinct(), "form", "left_anti").select("form")
     known = frozenset(r[0] for r in stop.collect())  # at most 1 / SHARE words
-    events = materialise(tokens.mapInPandas(_events(known), "doc_id string, line_no int, kind string, form string, rest string, before string, after string, next_line int"), "events")
+    events = _kept(tokens.mapInArrow(_events(known), "doc_id string, line_no int, kind string, form string, rest string, before string, after string, next_line int"), "events")
 
     # words broken at line ends: the whole word against the compound
     count = forms.select(F.col("form").alias("joined"), F.col("n").alias("whole_n"))
@@ -460,14 +509,16 @@ def find(docs: DataFrame) -> Found:
     single = events.where("kind = 'word'").select("doc_id", "line_no", "form", "before", "after", F.lit(0).alias("cut"), F.lit(0).alias("next_line"))
     split = broken.select("doc_id", "line_no", F.col("joined").alias("form"), "before", "after", F.length("form").alias("cut"), "next_line")
     at = single.unionByName(split).join(proposed, "form")
-    at = at.withColumn("pair", _pair_column("before", "word")).join(pairs.select("pair", F.col("n").alias("before_n")), "pair", "left").drop("pair")
-    at = at.withColumn("pair", _pair_column("word", "after")).join(pairs.select("pair", F.col("n").alias("after_n")), "pair", "left").drop("pair")
+    # both at once: a second Python function behind a broadcast join would be a second worker a task
+    at = at.withColumns({"before_pair": _pair_column("before", "word"), "after_pair": _pair_column("word", "after")})
+    for side in ("before", "after"):
+        at = at.join(pairs.select(F.col("pair").alias(f"{side}_pair"), F.col("n").alias(f"{side}_n")), f"{side}_pair", "left").drop(f"{side}_pair")
     support = F.coalesce("before_n", none) + F.coalesce("after_n", none)
     strange = F.col("form").rlike(r"[^\p{L}]|[^a-zà-ÿœß]")
     fits = (F.length("form") >= SHORT) | strange | (support > 0)
     # a form of letters alone may be a word: it must be far rarer, or stand where the word stands
     signs = F.col("form").rlike(r"[^\p{L}\p{M}]")
-    at = materialise(at, "candidates")
+    at = _kept(at, "candidates")
     # what is no word beside it, such as a number, speaks neither for nor against
     both = ((F.col("before") == "") | (F.coalesce("before_n", none) > 0)) & ((F.col("after") == "") | (F.coalesce("after_n", none) > 0)) & (support > 0)
     alike = at.where(~signs & (F.col("word_n") < LETTERS_RATIO * F.col("n"))).groupBy("form", "word").agg(F.avg(both.cast("int")).alias("share")).where(F.col("share") >= PLACES).select("form", "word", F.lit(True).alias("placed"))
@@ -555,10 +606,13 @@ def repaired(markdown: str, findings: list[dict]) -> tuple[str, int]:
     return "\n\n".join(paragraphs).replace("|\n\n|", "|\n|"), len(out)
 
 
-def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        done = [repaired(m, [f.asDict() if hasattr(f, "asDict") else dict(f) for f in (fs if fs is not None else ())]) for m, fs in zip(pdf["markdown"], pdf["findings"], strict=True)]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "markdown": [d[0] for d in done], "boilerplate_lines_removed": np.array([d[1] for d in done], np.int32), "ocr_used": pdf["ocr"]})
+_REPAIRED = pa.schema([("doc_id", pa.string()), ("markdown", pa.string()), ("boilerplate_lines_removed", pa.int32()), ("ocr_used", pa.bool_())])
+
+
+def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _chunks(batches, ("doc_id", "markdown", "findings", "ocr")):
+        rows = [(doc_id, *repaired(markdown, findings or []), ocr) for doc_id, markdown, findings, ocr in part]
+        yield _batch(rows, _REPAIRED)
 
 
 def repair(docs: DataFrame) -> DataFrame:
@@ -575,7 +629,7 @@ def repair(docs: DataFrame) -> DataFrame:
     by_doc = rows.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "kind", "form", "rest", "word", "cut", "next_line")).alias("findings"), F.max(F.col("kind") == "misread").alias("ocr"))
     texts = docs.where(F.col("markdown").isNotNull()).select("doc_id", "markdown").dropDuplicates(["doc_id"])
     joined = texts.join(by_doc, "doc_id", "left").withColumn("ocr", F.coalesce("ocr", F.lit(False)))
-    return joined.mapInPandas(_repair, "doc_id string, markdown string, boilerplate_lines_removed int, ocr_used boolean")
+    return joined.mapInArrow(_repair, "doc_id string, markdown string, boilerplate_lines_removed int, ocr_used boolean")
 
 
 def defects(docs: DataFrame) -> DataFrame:
